@@ -18,7 +18,6 @@ from viewtide.errors import QueryError
 from viewtide.plans.ast import Bool, Cursor, Exists, Operand, Simple
 
 NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-TRUE, FALSE = F.lit(True), F.lit(False)
 _TIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
@@ -66,7 +65,7 @@ def _identical(l: Column, lk: str, r: Column, rk: str) -> Column:
     if {lk, rk} == {"time", "string"}:
         text, time = (l, r) if lk == "string" else (r, l)
         return text.try_cast("timestamp") == time.cast("timestamp")
-    return FALSE
+    return F.lit(False)
 
 
 def like_regex(pattern: str) -> str:
@@ -91,7 +90,7 @@ def _members(l: Column, lk: str, values) -> Column:
     """Membership with plain equality: nulls and values of another kind never match."""
     same = [v for v in values if literal_kind(v) == lk or (lk == "time" and literal_kind(v) == "string")]
     if not same:
-        return FALSE
+        return F.lit(False)
     return l.isin([F.lit(v).try_cast("timestamp") if lk == "time" else v for v in same])
 
 
@@ -101,8 +100,8 @@ def simple(cond: Simple, spec) -> Column:
     both = l.isNotNull() & r.isNotNull()
     if op in ("IN", "NOT IN"):
         if rk != "list":
-            return FALSE if op == "IN" else l.isNotNull() & r.isNotNull()
-        member = F.coalesce(_members(l, lk, rv), FALSE)
+            return F.lit(False) if op == "IN" else l.isNotNull() & r.isNotNull()
+        member = F.coalesce(_members(l, lk, rv), F.lit(False))
         return member if op == "IN" else l.isNotNull() & ~member
     if "list" in (lk, rk):
         raise QueryError(f"{op} does not take a list")
@@ -110,37 +109,37 @@ def simple(cond: Simple, spec) -> Column:
         if "null" in (lk, rk):
             same = l.isNull() if rk == "null" else r.isNull()
         else:
-            same = F.coalesce(_identical(l, lk, r, rk), FALSE) | (l.isNull() & r.isNull())
+            same = F.coalesce(_identical(l, lk, r, rk), F.lit(False)) | (l.isNull() & r.isNull())
         return same if op == "IS" else ~same
     if op not in ("=", "!=", "<", ">", "<=", ">=", "LIKE", "NOT LIKE", "ILIKE", "NOT ILIKE"):
         raise QueryError(f"unknown operator {op!r}")
     if "null" in (lk, rk):
-        return FALSE
+        return F.lit(False)
     if op == "=":
-        return F.coalesce(_identical(l, lk, r, rk), FALSE)
+        return F.coalesce(_identical(l, lk, r, rk), F.lit(False))
     if op == "!=":
-        return both & ~F.coalesce(_identical(l, lk, r, rk), FALSE)
+        return both & ~F.coalesce(_identical(l, lk, r, rk), F.lit(False))
     if op.endswith("LIKE"):
-        hit = F.coalesce(_like(l, lk, r, rk, rv, "ILIKE" in op), FALSE)
+        hit = F.coalesce(_like(l, lk, r, rk, rv, "ILIKE" in op), F.lit(False))
         return both & ~hit if op.startswith("NOT") else hit
     if lk != rk and {lk, rk} == {"time", "string"}:
         l, r = (l.try_cast("timestamp"), r) if lk == "string" else (l, r.try_cast("timestamp"))
     elif lk != rk or lk in ("json", "other"):
         raise QueryError(f"{op} between {lk} and {rk}")
-    return F.coalesce({"<": l < r, ">": l > r, "<=": l <= r, ">=": l >= r}[op], FALSE)
+    return F.coalesce({"<": l < r, ">": l > r, "<=": l <= r, ">=": l >= r}[op], F.lit(False))
 
 
 def condition(cond, spec, flags: dict[str, Column] | None = None) -> Column:
     """A whole condition; flags gives the Column of each EXISTS by its uid."""
     if cond is None:
-        return TRUE
+        return F.lit(True)
     if isinstance(cond, Simple):
         return simple(cond, spec)
     if isinstance(cond, Bool):
         parts = [condition(x, spec, flags) for x in cond.parts]
         if cond.kind == "and":
-            return reduce(lambda a, b: a & b, parts, TRUE) if parts else TRUE
-        return reduce(lambda a, b: a | b, parts) if parts else FALSE
+            return reduce(lambda a, b: a & b, parts, F.lit(True)) if parts else F.lit(True)
+        return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
     if isinstance(cond, Exists):
         return flags[cond.uid]
     raise QueryError(f"unknown condition {cond!r}")
@@ -164,12 +163,12 @@ def after_cursor(cursor: Cursor, order, spec) -> Column:
     def value(c, v):
         return F.lit(v).cast(spec.type_of(c))
     same = [F.col(f"`{c}`").eqNullSafe(value(c, v)) for c, _, v in prefix]
-    strict = FALSE
+    strict = F.lit(False)
     for i, (c, way, v) in enumerate(prefix):
         x = F.col(f"`{c}`")
         if way == "asc":
             later = x.isNotNull() if v is None else x > value(c, v)
         else:
-            later = FALSE if v is None else (x < value(c, v)) | x.isNull()
-        strict = strict | reduce(lambda a, b: a & b, same[:i], F.coalesce(later, FALSE))
-    return strict if cursor.exclusive else strict | reduce(lambda a, b: a & b, same, TRUE)
+            later = F.lit(False) if v is None else (x < value(c, v)) | x.isNull()
+        strict = strict | reduce(lambda a, b: a & b, same[:i], F.coalesce(later, F.lit(False)))
+    return strict if cursor.exclusive else strict | reduce(lambda a, b: a & b, same, F.lit(True))
