@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from viewtide.llm import mix, shard
+from viewtide.llm import decontaminate, mix, shard, simhash, tokens
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
+    "op6_token_files": tokens.op6_token_files,
     "op7_shard": shard.op7_shard,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
     "op1_mix_sources": mix.SQL,
