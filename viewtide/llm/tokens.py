@@ -24,7 +24,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
+from itertools import repeat
 from typing import Iterator
 
 import numpy as np
@@ -38,25 +38,110 @@ from viewtide.sources.staging import new_dir, stage
 SEQUENCE, BATCH = 2048, 64
 END = 0
 #: Distinct pieces that a worker remembers before it starts anew: a bound of memory, without effect on results.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 #: White space on both sides of a space, or a space at the end after white space: there the cut before a space could matter.
 AMBIGUOUS = re.compile(r"\s \s|\s $")
 
+#: Runs of letters with the space before, runs of ASCII signs (no apostrophe) and single line ends: the byte-level splitter cuts exactly between them.
+PARTS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[!-&(-/:-@\[-`{-~]+|\n(?!\n)")
+#: Marks the first word of a text; no text holds a lone surrogate.
+FIRST = "\ud800"
+
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 
 class Encoder:
     """Encodes texts with a tokenizers file, given as its JSON."""
 
+    _kept: dict[int, "Encoder"] = {}
+
+    @classmethod
+    def of(cls, spec: str) -> "Encoder":
+        """The worker's encoder for a file; tasks of one worker share what it remembers."""
+        if hash(spec) not in cls._kept:
+            cls._kept = {hash(spec): cls(spec)}
+        return cls._kept[hash(spec)]
+
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.pieces: dict[str, list[int]] = {}
-        model = self.tokenizer.pre_tokenizer
         #: cutting before spaces is right for byte-level splitters without a normalizer; others get whole texts
-        self.cuts = type(model).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        self.cuts = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        #: a special token that cuts a text exactly where it stands: between pieces, it lets many be encoded at once
+        apart = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.apart = apart[0] if apart else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.starts = {c[:1] for c in self.added}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # words after a space by their text; first words by FIRST and their text
+        self.parts: dict[str, np.ndarray] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.seen = np.zeros(1 << 14, np.int64)
+        self.n, self.used = 0, 0
+
+    def _thin(self) -> None:
+        """Forgets the words that were met once."""
+        known, start, size, flat = self.known, self.start, self.size, self.flat
+        again = self.seen[: self.n] > 1
+        self._forget()
+        keep = np.flatnonzero(again)
+        names = [w for w, i in known.items() if again[i]]
+        codes = np.fromiter((known[w] for w in names), np.int64, len(names))
+        if len(keep) > REMEMBER // 2 or not len(keep):
+            return
+        sizes = size[codes]
+        ends = np.cumsum(sizes)
+        self.flat = flat[np.repeat(start[codes] - ends + sizes, sizes) + np.arange(ends[-1])]
+        self.start, self.size, self.seen = ends - sizes, sizes, np.zeros(len(codes), np.int64)
+        self.known, self.n, self.used = dict(zip(names, range(len(names)))), len(names), int(ends[-1])
+
+    def _encode_many(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each of many short texts: those between special tokens of one long text."""
+        out: list = [None] * len(pieces)
+        alone = [i for i, p in enumerate(pieces) if not self.apart or self.apart[1] in p]
+        for i, e in zip(alone, self.tokenizer.encode_batch([pieces[i] for i in alone], add_special_tokens=False) if alone else ()):
+            out[i] = np.asarray(e.ids, np.uint32)
+        rest = [i for i in range(len(pieces)) if not alone or out[i] is None]
+        groups = [rest[at : at + 200] for at in range(0, len(rest), 200)]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([self.apart[1].join(pieces[i] for i in g) for g in groups], add_special_tokens=False) if groups else ()):
+            ids = np.asarray(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.apart[0])
+            for i, s, t in zip(g, np.concatenate(([0], cuts + 1)).tolist(), np.append(cuts, len(ids)).tolist()):
+                out[i] = ids[s:t]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words and keeps their ids under running numbers. A word of plain letters and signs is put together from the parts that the splitter makes of it."""
+        rows: list = []
+        counts, parts_of = [], PARTS.findall
+        for w in words:
+            p = w[1:] if w[0:1] == FIRST else " " + w
+            parts = parts_of(p)
+            if "".join(parts) != p or (not self.starts.isdisjoint(p) and any(c in p for c in self.added)):
+                parts = [p]
+            rows += parts
+            counts.append(len(parts))
+        need = list(dict.fromkeys(x for x in rows if x not in self.parts))
+        self.parts.update(zip(need, self._encode_many(need)))
+        rows = list(map(self.parts.__getitem__, rows))
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        sizes = np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))])
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(words) > len(self.start):
+            self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
+        if rows:
+            self.flat[self.used : self.used + total] = np.concatenate(rows)
+        self.start[self.n : self.n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(words)] = sizes
+        self.known.update(zip(words, range(self.n, self.n + len(words))))
+        self.n, self.used = self.n + len(words), self.used + total
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
@@ -67,24 +152,29 @@ class Encoder:
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
                 out[i] = np.asarray(e.ids, dtype=np.uint32)
-        if len(self.pieces) > REMEMBER:
-            self.pieces.clear()
-        split = []
+        if not cut:
+            return out
+        if self.n > REMEMBER:
+            self._thin()
+        words: list[str] = []
+        counts = []
         for i in cut:
-            words = texts[i].split(" ")
-            split.append(words)
-        # a word stands for itself after a space; the first word of a text has none before it
-        new = {" " + w for w in set(chain.from_iterable(x[1:] for x in split))}.union(x[0] for x in split) - self.pieces.keys()
-        if new:
-            new = list(new)
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.pieces[p] = e.ids
-        known = self.pieces
-        for i, words in zip(cut, split):
-            ids = list(known[words[0]])
-            for w in words[1:]:
-                ids += known[" " + w]
-            out[i] = np.asarray(ids, dtype=np.uint32)
+            one = texts[i].split(" ")
+            one[0] = FIRST + one[0]
+            words += one
+            counts.append(len(one))
+        codes = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        if unknown:
+            self._learn(list(dict.fromkeys(words[i] for i in unknown)))
+            codes[unknown] = [self.known[words[i]] for i in unknown]
+        np.add.at(self.seen, codes, 1)
+        sizes = self.size[codes]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.start[codes] - ends + sizes, sizes) + np.arange(ends[-1])]
+        edges = ends[np.cumsum(counts) - 1].tolist()
+        for i, s, e in zip(cut, [0, *edges], edges):
+            out[i] = ids[s:e]
         return out
 
 
@@ -153,7 +243,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key:
         part, encoder, writer = TaskContext.get().partitionId(), None, None
         for b in batches:
             if encoder is None:
-                encoder = Encoder(spec.value)
+                encoder = Encoder.of(spec.value)
                 small = encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
                 writer = Writer(folder, part, length, np.uint16 if small else np.uint32)
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
