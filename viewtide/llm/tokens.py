@@ -78,7 +78,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # words after a space by their text; first words by FIRST and their text
-        self.parts: dict[str, np.ndarray] = {}
+        self.parts: dict[str, int] = {}  # numbers of parts; their ids lie end to end
+        self.part_flat, self.part_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.seen = np.zeros(1 << 14, np.int64)
@@ -100,20 +101,25 @@ class Encoder:
         self.start, self.size, self.seen = ends - sizes, sizes, np.zeros(len(codes), np.int64)
         self.known, self.n, self.used = dict(zip(names, range(len(names)))), len(names), int(ends[-1])
 
-    def _encode_many(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each of many short texts: those between special tokens of one long text."""
-        out: list = [None] * len(pieces)
-        alone = [i for i, p in enumerate(pieces) if not self.apart or self.apart[1] in p]
-        for i, e in zip(alone, self.tokenizer.encode_batch([pieces[i] for i in alone], add_special_tokens=False) if alone else ()):
-            out[i] = np.asarray(e.ids, np.uint32)
-        rest = [i for i in range(len(pieces)) if not alone or out[i] is None]
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Encodes short texts and keeps their ids: many at once stand between special tokens of one long text."""
+        apart = self.apart
+        alone = [p for p in parts if not apart or apart[1] in p]
+        rest = [p for p in parts if apart and apart[1] not in p] if alone else parts
+        found, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         groups = [rest[at : at + 200] for at in range(0, len(rest), 200)]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([self.apart[1].join(pieces[i] for i in g) for g in groups], add_special_tokens=False) if groups else ()):
+        for e in self.tokenizer.encode_batch_fast([apart[1].join(g) for g in groups], add_special_tokens=False) if groups else ():
             ids = np.asarray(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.apart[0])
-            for i, s, t in zip(g, np.concatenate(([0], cuts + 1)).tolist(), np.append(cuts, len(ids)).tolist()):
-                out[i] = ids[s:t]
-        return out
+            cut = ids == apart[0]
+            found.append(ids[~cut])
+            lengths.append(np.diff(np.flatnonzero(np.concatenate(([True], cut, [True])))) - 1)
+        for e in self.tokenizer.encode_batch(alone, add_special_tokens=False) if alone else ():
+            found.append(np.asarray(e.ids, np.uint32))
+            lengths.append(np.array([len(e.ids)]))
+        first = len(self.part_ends) - 1
+        self.parts.update(zip([*rest, *alone] if alone else rest, range(first, first + len(parts))))
+        self.part_flat = np.concatenate([self.part_flat, *found])
+        self.part_ends = np.concatenate([self.part_ends, self.part_ends[-1] + np.cumsum(np.concatenate(lengths))])
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words and keeps their ids under running numbers. A word of plain letters and signs is put together from the parts that the splitter makes of it."""
@@ -126,18 +132,19 @@ class Encoder:
                 parts = [p]
             rows += parts
             counts.append(len(parts))
-        need = list(dict.fromkeys(x for x in rows if x not in self.parts))
-        self.parts.update(zip(need, self._encode_many(need)))
-        rows = list(map(self.parts.__getitem__, rows))
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        sizes = np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))])
-        total = int(sizes.sum())
+        known = self.parts
+        if need := list(dict.fromkeys(x for x in rows if x not in known)):
+            self._encode_parts(need)
+        codes = np.fromiter(map(known.__getitem__, rows), np.int64, len(rows))
+        lengths = self.part_ends[codes + 1] - self.part_ends[codes]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        sizes, total = np.diff(ends[np.concatenate(([0], np.cumsum(counts)))]), int(ends[-1])
+        ids = self.part_flat[np.repeat(self.part_ends[codes] - ends[:-1], lengths) + np.arange(total)]
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(words) > len(self.start):
             self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
-        if rows:
-            self.flat[self.used : self.used + total] = np.concatenate(rows)
+        self.flat[self.used : self.used + total] = ids
         self.start[self.n : self.n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.size[self.n : self.n + len(words)] = sizes
         self.known.update(zip(words, range(self.n, self.n + len(words))))
