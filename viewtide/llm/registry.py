@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from viewtide.llm import decontaminate, mix, shard, simhash, tokens
+from viewtide.llm import decontaminate, langid, mix, shard, simhash, tokens
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
     "op6_token_files": tokens.op6_token_files,
     "op7_shard": shard.op7_shard,
+    "op8_language_id": langid.op8_language_id,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
