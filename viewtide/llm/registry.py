@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from viewtide.llm import decontaminate, langid, mix, shard, simhash, tokens
+from viewtide.llm import decontaminate, langid, mix, quality, shard, simhash, tokens
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
+    "op2_quality": quality.op2_quality,
     "op6_token_files": tokens.op6_token_files,
     "op7_shard": shard.op7_shard,
     "op8_language_id": langid.op8_language_id,
@@ -14,4 +15,5 @@ QUERIES = {
 }
 SQL = {
     "op1_mix_sources": mix.SQL,
+    "op2_quality": quality.SQL,
 }
