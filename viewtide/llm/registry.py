@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from viewtide.llm import decontaminate, langid, mix, quality, shard, simhash, tokens
+from viewtide.llm import decontaminate, langid, mix, passages, quality, shard, simhash, tokens, urls
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
     "op2_quality": quality.op2_quality,
+    "op3_url_filter": urls.op3_url_filter,
+    "op5_repeated_passages": passages.op5_repeated_passages,
     "op6_token_files": tokens.op6_token_files,
     "op7_shard": shard.op7_shard,
     "op8_language_id": langid.op8_language_id,
@@ -16,4 +18,5 @@ QUERIES = {
 SQL = {
     "op1_mix_sources": mix.SQL,
     "op2_quality": quality.SQL,
+    "op3_url_filter": urls.SQL,
 }
