@@ -208,6 +208,15 @@ def search(index: DataFrame, items: DataFrame, item_key: str = "item_id", text:
     return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, item_ids array<string>")
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the contaminated ones. Rows are matched by the hash of the text, as contamination depends on that alone."""
+    body = common.fresh(docs, "__body")
+    rows = docs.withColumn(body, F.xxhash64(F.col(f"`{text}`")))
+    found = search(build_index(rows.select(F.col(f"`{text}`").alias("text"), F.col(body).alias("key")), "text", "key"), items.select(F.col(f"`{item_key}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")))
+    bad = found.filter("n_hit > 0").select(F.col("doc_id").alias(body)).distinct()
+    return rows.join(bad, body, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest for every document."""
     docs = common.plain(common.read(spark, sf_dir, "documents"), "doc_id", "text")

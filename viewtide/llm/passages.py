@@ -127,12 +127,14 @@ def band_rows(table: DataFrame, n_bands: int, rows: int) -> DataFrame:
             offsets = np.frombuffer(column.buffers()[1], np.int32, b.num_rows + 1, column.offset * 4)
             x = np.frombuffer(column.buffers()[2], np.uint64, offsets[-1] // 8)[offsets[0] // 8 :]
             starts = (offsets[:-1] - offsets[0]) // 8
+            # a batch sends each class once, so that a unit that is everywhere is few rows
+            once, first = np.unique(classes.to_numpy(), return_index=True)
             for i in range(n_bands):
                 k = np.full(b.num_rows, i + 1, np.uint64)
                 for j in range(rows):
                     seed = np.uint64((i * rows + j + 1) * int(_MIX[0]) % (1 << 64))
                     k = _mixed(k * _MIX[1] + np.minimum.reduceat(_mixed(x ^ seed), starts))
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), classes], names=["k", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)[first]), pa.array(once)], names=["k", "class"])
 
     return table.select("class", "shingles").mapInArrow(run, "k long, class long")
 

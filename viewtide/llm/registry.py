@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from viewtide.llm import decontaminate, langid, mix, passages, quality, shard, simhash, tokens, urls
+from viewtide.llm import decontaminate, langid, lm, mix, passages, quality, shard, simhash, tokens, urls
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
     "op2_quality": quality.op2_quality,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_repeated_passages": passages.op5_repeated_passages,
     "op6_token_files": tokens.op6_token_files,
     "op7_shard": shard.op7_shard,
