@@ -37,7 +37,7 @@ from viewtide.llm.langid import held_out
 from viewtide.sources.staging import new_dir, stage
 
 PRIOR = 200.0
-BATCH_TOKENS, SHARD_TOKENS = 4_000_000, 6_000_000
+BATCH_TOKENS, SHARD_TOKENS = 2_000_000, 4_000_000
 #: Tokens of one context that a shard takes.
 HOT = 1_000_000
 #: Hashes that stand for the end and for the start of a text.
@@ -141,6 +141,12 @@ class Batch:
         return v, w, number, ask[order], np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one in memory at a time."""
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 COUNT_ASK = "shard int, batch long, hashes binary, counts binary"
 COUNT_ANSWER = "batch long, shard int, answer binary, n long, v long"
 
@@ -148,7 +154,7 @@ COUNT_ANSWER = "batch long, shard int, answer binary, n long, v long"
 def ask_counts(held: DataFrame, shards: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 x = Batch(row)
                 counts = x.counts()
                 order, cuts = x.deal(shards)
@@ -211,7 +217,7 @@ PAIR_ANSWER = "batch long, shard int, answer binary"
 def ask_pairs(held: DataFrame, counts: str, count_shards: int, shards: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 x = Batch(row)
                 known = x.known(_answers(counts, x.number), count_shards)
                 v, w, number, order, cuts = x.pairs(known, shards)
@@ -287,7 +293,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 x = Batch(row)
                 known = x.known(_answers(counts, x.number), shards)
                 c, w, number, order, cuts = x.pairs(known, shards)
