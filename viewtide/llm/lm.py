@@ -37,7 +37,7 @@ from viewtide.llm.langid import held_out
 from viewtide.sources.staging import new_dir, stage
 
 PRIOR = 200.0
-BATCH_TOKENS, SHARD_TOKENS = 2_000_000, 4_000_000
+BATCH_TOKENS, SHARD_TOKENS = 2_000_000, 2_000_000
 #: Tokens of one context that a shard takes.
 HOT = 1_000_000
 #: Hashes that stand for the end and for the start of a text.
@@ -84,7 +84,7 @@ def batches(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_toke
             yield out(number)
 
     d = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), held_out(key, 5, 1).alias("held"))
-    return stage(d.mapInArrow(run, BATCHES), "lm-batches")
+    return stage(d.mapInArrow(run, BATCHES), "lm-batches", "zstd")
 
 
 class Batch:
@@ -193,7 +193,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
 def _by_batch(answers: DataFrame, name: str) -> str:
     """Answers as files by batch, one for each batch."""
     path = new_dir(answers.sparkSession, name)
-    answers.repartition("batch").write.partitionBy("batch").parquet(path)
+    answers.repartition("batch").write.option("compression", "zstd").partitionBy("batch").parquet(path)
     return path
 
 
@@ -285,10 +285,11 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float
     held = batches(docs, text, key)
     tokens = held.agg(F.sum("n_tokens")).collect()[0][0] or 0
     shards = max(6, -(-tokens // SHARD_TOKENS))
-    counted = stage(answer_counts(ask_counts(held, shards)), "lm-counts")
+    counted = stage(answer_counts(ask_counts(held, shards)), "lm-counts", "zstd")
     total = counted.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()[0]
     n, v = total["n"] or 0, total["v"] or 0
     counts = _by_batch(counted.drop("n", "v"), "lm-counts")
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of this step before the next one's
     codes = _by_batch(answer_pairs(ask_pairs(held, counts, shards, shards), new_dir(spark, "lm-trie"), prior), "lm-codes")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
