@@ -37,6 +37,22 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """What a worker keeps from task to task: one thing at a time, so that stages do not pile up in reused workers."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def drop() -> None:
+    """Frees what earlier stages kept in this worker."""
+    _KEPT.clear()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name.lower() in {c.lower() for c in df.columns}:

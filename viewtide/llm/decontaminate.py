@@ -80,6 +80,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", gap: i
     schema = pa.schema([(c, pa.binary()) for c in ("doc_ids", "lengths", "terms", "offsets", "positions")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop()
         ids, texts, n = [], [], 0
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -31,7 +31,7 @@ MAX_LANGUAGES = 4096
 UNKNOWN = "und"
 SPACE = 32
 #: Trigram vectors that a worker remembers before it starts anew.
-REMEMBER = 60_000
+REMEMBER = 20_000
 #: Characters that one pass over a batch of texts holds.
 CHUNK = 400_000
 
@@ -43,11 +43,9 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
 class Profiles:
     """Vectors of trigrams and texts."""
 
-    _kept: dict[int, "Profiles"] = {}
-
     @classmethod
     def of(cls, dimensions: int) -> "Profiles":
-        return cls._kept.setdefault(dimensions, cls(dimensions))
+        return common.kept(("profiles", dimensions), lambda: cls(dimensions))
 
     def __init__(self, dimensions: int):
         self.dimensions = dimensions

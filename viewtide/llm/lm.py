@@ -60,6 +60,8 @@ def batches(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_toke
         import xxhash
         from pyspark import TaskContext
 
+        common.drop()
+
         number, held, ids, lengths, parts, words = TaskContext.get().partitionId() << 24, [], [], [], [], {}
 
         def out(number):

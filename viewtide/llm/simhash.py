@@ -87,6 +87,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, text: str = "text", ke
     common.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop()
         for b in batches:
             raw = np.frombuffer(b"".join(fingerprint(t, scheme) for t in b.column(2).to_pylist()), ">i8").reshape(b.num_rows, -1).astype(np.int64)
             hi = raw[:, 0] if scheme.bits == 128 else np.zeros(b.num_rows, np.int64)

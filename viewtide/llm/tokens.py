@@ -53,14 +53,10 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 class Encoder:
     """Encodes texts with a tokenizers file, given as its JSON."""
 
-    _kept: dict[int, "Encoder"] = {}
-
     @classmethod
     def of(cls, spec: str) -> "Encoder":
         """The worker's encoder for a file; tasks of one worker share what it remembers."""
-        if hash(spec) not in cls._kept:
-            cls._kept = {hash(spec): cls(spec)}
-        return cls._kept[hash(spec)]
+        return common.kept(("tokens", hash(spec)), lambda: cls(spec))
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
