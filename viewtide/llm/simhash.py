@@ -194,7 +194,11 @@ def link(distinct: DataFrame, scheme: Scheme) -> DataFrame:
         def flush(cols):
             k, hi, lo = (np.concatenate(c) for c in zip(*cols))
             a, b = links(k >> 2, (k & 3).astype(np.int8), hi.view(np.uint64), lo.view(np.uint64), scheme.distance)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (hi[a], lo[a], hi[b], lo[b])], names=["a_hi", "a_lo", "b_hi", "b_lo"])
+            # a fingerprint stands in many buckets: one forest over all of them, to the least fingerprint
+            ends = np.concatenate([a, b])
+            nodes, at = np.unique(np.stack([hi[ends], lo[ends]], axis=1), axis=0, return_inverse=True)
+            a, b = _thin(at.ravel()[: len(a)], at.ravel()[len(a) :])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[a, 0], nodes[a, 1], nodes[b, 0], nodes[b, 1])], names=["a_hi", "a_lo", "b_hi", "b_lo"])
 
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
