@@ -37,8 +37,8 @@ from viewtide.sources.staging import new_dir, stage
 
 SEQUENCE, BATCH = 2048, 64
 END = 0
-#: Distinct pieces that a worker remembers before it starts anew: a bound of memory, without effect on results.
-REMEMBER = 1_000_000
+#: Distinct words, and parts of words, that a worker remembers before it forgets rare ones: a bound of memory, without effect on results.
+REMEMBER, REMEMBER_PARTS = 800_000, 300_000
 #: White space on both sides of a space, or a space at the end after white space: there the cut before a space could matter.
 AMBIGUOUS = re.compile(r"\s \s|\s $")
 
@@ -128,6 +128,8 @@ class Encoder:
                 parts = [p]
             rows += parts
             counts.append(len(parts))
+        if len(self.parts) > REMEMBER_PARTS:
+            self.parts, self.part_flat, self.part_ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
         known = self.parts
         if need := list(dict.fromkeys(x for x in rows if x not in known)):
             self._encode_parts(need)
@@ -249,10 +251,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key:
                 encoder = Encoder.of(spec.value)
                 small = encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
                 writer = Writer(folder, part, length, np.uint16 if small else np.uint32)
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(keys), 500):
-                ids = [np.append(x, np.uint32(end)) for x in encoder.encode(texts[at : at + 500])]
-                writer.add(keys[at : at + 500], ids)
+            for at in range(0, b.num_rows, 500):  # few texts at a time are Python objects
+                part = b.slice(at, 500)
+                writer.add(part.column(0).to_pylist(), [np.append(x, np.uint32(end)) for x in encoder.encode(part.column(1).to_pylist())])
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{writer.name}", "n_docs": writer.n_docs, "n_tokens": writer.n_tokens, "n_sequences": writer.n_sequences}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
