@@ -252,8 +252,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key:
                 small = encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
                 writer = Writer(folder, part, length, np.uint16 if small else np.uint32)
             for at in range(0, b.num_rows, 500):  # few texts at a time are Python objects
-                part = b.slice(at, 500)
-                writer.add(part.column(0).to_pylist(), [np.append(x, np.uint32(end)) for x in encoder.encode(part.column(1).to_pylist())])
+                some = b.slice(at, 500)
+                writer.add(some.column(0).to_pylist(), [np.append(x, np.uint32(end)) for x in encoder.encode(some.column(1).to_pylist())])
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{writer.name}", "n_docs": writer.n_docs, "n_tokens": writer.n_tokens, "n_sequences": writer.n_sequences}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
