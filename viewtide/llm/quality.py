@@ -174,6 +174,6 @@ f AS (SELECT kl, ks, metric, q3 + {FENCE} * greatest(q3 - q1, MAP {{{', '.join(f
   FROM l0 JOIN l1 ON l0.kl = l1.kl AND l0.metric = l1.metric JOIN l2 ON l0.metric = l2.metric)),
 p AS (SELECT kl, ks, {', '.join(f"max(fence) FILTER (metric = '{m}') AS max_{m}" for m in FLOORS)} FROM f GROUP BY kl, ks)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND {' AND '.join(f'{m} <= coalesce(max_{m}, 1 << 62)' for m in FLOORS)}) AS kept
+       (NOT base_failed AND {' AND '.join(f'{m} <= coalesce(max_{m}, 4611686018427387904)' for m in FLOORS)}) AS kept
 FROM v LEFT JOIN p USING (kl, ks)
 """
