@@ -200,7 +200,10 @@ def held_out(key: str = "doc_id", parts: int = 3, rest: int = 1):
 def reject(docs: DataFrame, least: float = 0.0, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """docs without those that have no letter, or whose cosine with every learned language is below least. Very short texts have low cosines, so that 0 is the default."""
     name = common.fresh(docs, "langid")
-    found = predict(docs, learn(docs.filter(~held_out(key)), text, lang), text)
+    model = learn(docs.filter(~held_out(key)), text, lang)
+    if not model[0]:  # no language to resemble: only rows without a letter go
+        return docs.filter(F.col(f"`{text}`").rlike(r"\p{L}"))
+    found = predict(docs, model, text)
     return found.filter((F.col(f"`{name}`.lang_pred") != UNKNOWN) & (F.col(f"`{name}`.score") >= least)).select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -222,7 +222,7 @@ def link(distinct: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def group(prints: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """Rows of fingerprints() -> the same with component_id, the least key reachable over links."""
+    """Rows of fingerprints() -> the same with component (a number of its own) and component_id, the least key reachable over links."""
     prints = stage(prints, "prints")
     node = F.xxhash64("hi", "lo") if scheme.bits == 128 else F.col("lo")
     distinct = stage(prints.groupBy("hi", "lo").agg(F.min("key").alias("least")), "distinct")
@@ -231,14 +231,14 @@ def group(prints: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     labels = components(edges.select(*ends), "simhash")
     nodes = distinct.withColumn("node", node).join(labels, "node", "left")
     least = nodes.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "component", "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component_id", "least").alias("component_id"))
+    nodes = nodes.join(least, "component", "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "node").alias("component"))
     return prints.join(nodes, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).drop("h", "l")
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each component: that of the least key, and of rows with that key the one whose text's hash is least."""
     found = group(fingerprints(docs, scheme, text, key), scheme)
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "body")).alias("m")).select("m.key", "m.body")
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "body")).alias("m")).select("m.key", "m.body")
     body, rank = common.fresh(docs, "__body"), common.fresh(docs, "__rank")
     rows = docs.withColumn(body, F.xxhash64(F.col(f"`{text}`")))
     rows = rows.join(chosen, rows[f"`{key}`"].eqNullSafe(chosen["key"]) & (rows[body] == chosen["body"]), "left_semi")
