@@ -38,7 +38,7 @@ from viewtide.sources.staging import new_dir, stage
 SEQUENCE, BATCH = 2048, 64
 END = 0
 #: Distinct words, and parts of words, that a worker remembers before it forgets rare ones: a bound of memory, without effect on results.
-REMEMBER, REMEMBER_PARTS = 800_000, 300_000
+REMEMBER = (1_000_000, 1_000_000)
 #: White space on both sides of a space, or a space at the end after white space: there the cut before a space could matter.
 AMBIGUOUS = re.compile(r"\s \s|\s $")
 
@@ -54,11 +54,12 @@ class Encoder:
     """Encodes texts with a tokenizers file, given as its JSON."""
 
     @classmethod
-    def of(cls, spec: str) -> "Encoder":
+    def of(cls, spec: str, remember: tuple[int, int] = REMEMBER) -> "Encoder":
         """The worker's encoder for a file; tasks of one worker share what it remembers."""
-        return common.kept(("tokens", hash(spec)), lambda: cls(spec))
+        return common.kept(("tokens", hash(spec), remember), lambda: cls(spec, remember))
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, remember: tuple[int, int] = REMEMBER):
+        self.most, self.most_parts = remember
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,7 +90,7 @@ class Encoder:
         keep = np.flatnonzero(again)
         names = [w for w, i in known.items() if again[i]]
         codes = np.fromiter((known[w] for w in names), np.int64, len(names))
-        if len(keep) > REMEMBER // 2 or not len(keep):
+        if len(keep) > self.most // 2 or not len(keep):
             return
         sizes = size[codes]
         ends = np.cumsum(sizes)
@@ -128,7 +129,7 @@ class Encoder:
                 parts = [p]
             rows += parts
             counts.append(len(parts))
-        if len(self.parts) > REMEMBER_PARTS:
+        if len(self.parts) > self.most_parts:
             self.parts, self.part_flat, self.part_ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
         known = self.parts
         if need := list(dict.fromkeys(x for x in rows if x not in known)):
@@ -159,7 +160,7 @@ class Encoder:
                 out[i] = np.asarray(e.ids, dtype=np.uint32)
         if not cut:
             return out
-        if self.n > REMEMBER:
+        if self.n > self.most:
             self._thin()
         words: list[str] = []
         counts = []
@@ -230,7 +231,7 @@ class Writer:
             x.close()
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key: str = "doc_id", length: int = SEQUENCE, end: int = END) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key: str = "doc_id", length: int = SEQUENCE, end: int = END, remember: tuple[int, int] = REMEMBER) -> DataFrame:
     """Writes all documents in ascending order of key and returns the manifest: part, path, n_docs, n_tokens, n_sequences."""
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
@@ -248,7 +249,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key:
         part, encoder, writer = TaskContext.get().partitionId(), None, None
         for b in batches:
             if encoder is None:
-                encoder = Encoder.of(spec.value)
+                encoder = Encoder.of(spec.value, remember)
                 small = encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
                 writer = Writer(folder, part, length, np.uint16 if small else np.uint32)
             for at in range(0, b.num_rows, 500):  # few texts at a time are Python objects
@@ -332,11 +333,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, remember: tuple[int, int] = REMEMBER) -> DataFrame:
     """Writes the documents to a new folder of the shared one, and returns what is read back."""
     spark = docs.sparkSession
     common.ready(spark)
-    return read_back(write(docs, tokenizer or tokenizer_path(), new_dir(spark, "tokens")))
+    return read_back(write(docs, tokenizer or tokenizer_path(), new_dir(spark, "tokens"), remember=remember))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
