@@ -56,7 +56,7 @@ class Profiles:
     def _forget(self) -> None:
         self.codes = np.zeros(0, np.int64)
         self.places = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, self.dimensions), np.float32)
+        self.vectors = np.zeros((0, self.dimensions), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -101,7 +101,7 @@ class Profiles:
                 self._forget()
                 new = codes
             mask = (1 << 21) - 1
-            rows = np.empty((len(new), self.dimensions), np.float32)
+            rows = np.empty((len(new), self.dimensions), np.int8)
             for i, (a, b, c) in enumerate(zip((new >> 42).tolist(), (new >> 21 & mask).tolist(), (new & mask).tolist())):
                 rows[i] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
             every = np.concatenate([self.codes, new])
@@ -123,7 +123,7 @@ class Profiles:
         for i in np.flatnonzero(letters).tolist():
             counts = np.bincount(number[edges[i] : edges[i + 1]], minlength=0)
             some = np.flatnonzero(counts)
-            out[i] = counts[some].astype(np.float32) @ self.vectors[rows[some]]
+            out[i] = counts[some].astype(np.float32) @ self.vectors[rows[some]].astype(np.float32)
         return out, letters
 
 
