@@ -32,7 +32,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids as Arrow files; a row for each document that the files hold."""
-    return tokens.encode_documents(docs, remember=(800_000, 300_000))  # workers still hold what earlier stages left
+    return tokens.encode_documents(docs, remember=(300_000, 100_000))  # beside executors whose heap earlier stages have filled
 
 
 STAGES = [

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,14 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of one Arrow batch to Python workers, where the session does not say: texts are long, and a batch is held by the JVM and the worker.
+ARROW_BYTES = 4_000_000
+
+
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever the driver was started."""
+    """Lets Python workers import this package, wherever the driver was started, and bounds the batches that reach them."""
+    if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
@@ -40,17 +48,27 @@ def lower_words(text: str | None) -> list[bytes]:
 _KEPT: dict = {}
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, as workers idle on beside later stages. malloc_trim is glibc's alone."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def kept(name, make):
     """What a worker keeps from task to task: one thing at a time, so that stages do not pile up in reused workers."""
     if name not in _KEPT:
         _KEPT.clear()
+        give_back()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
 def drop() -> None:
     """Frees what earlier stages kept in this worker."""
-    _KEPT.clear()
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -93,6 +93,8 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", gap: i
                     ids, texts, n = [], [], 0
         if ids:
             yield pa.RecordBatch.from_pylist([segment(ids, texts, gap)], schema=schema)
+        del ids, texts
+        common.give_back()
 
     return stage(common.plain(docs, key, text).mapInArrow(run, INDEX), "index")
 
@@ -205,6 +207,7 @@ def search(index: DataFrame, items: DataFrame, item_key: str = "item_id", text:
                     ids = sorted(str(x) for x in found if x is not None)
                     out.append({"doc_id": doc, "n_words": n, "n_hit": hit, "n_items": len(found), "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest(), "item_ids": ids})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
+        common.give_back()
 
     return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, item_ids array<string>")
 

@@ -92,6 +92,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, text: str = "text", ke
             raw = np.frombuffer(b"".join(fingerprint(t, scheme) for t in b.column(2).to_pylist()), ">i8").reshape(b.num_rows, -1).astype(np.int64)
             hi = raw[:, 0] if scheme.bits == 128 else np.zeros(b.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hi), pa.array(raw[:, -1])], names=["key", "body", "hi", "lo"])
+        common.give_back()
 
     d = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("body"), F.col(f"`{text}`").alias("text"))
     return d.mapInArrow(run, f"key {d.schema['key'].dataType.simpleString()}, body long, hi long, lo long")
@@ -214,6 +215,8 @@ def link(distinct: DataFrame, scheme: Scheme) -> DataFrame:
             held.append((k[cut:], hi[cut:], lo[cut:]))
         if held:
             yield flush(held)
+        held = []
+        common.give_back()
 
     kept = ["hi", "lo"] if wide else ["lo"]
     rows = distinct.select("hi", "lo").mapInArrow(index, "k long, hi long, lo long" if wide else "k long, lo long")

@@ -29,6 +29,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ SEQUENCE, BATCH = 2048, 64
 END = 0
 #: Distinct words, and parts of words, that a worker remembers before it forgets rare ones: a bound of memory, without effect on results.
 REMEMBER = (1_000_000, 1_000_000)
+#: Bytes of texts that are Python objects at a time, or one text.
+CHUNK = 4_000_000
 #: White space on both sides of a space, or a space at the end after white space: there the cut before a space could matter.
 AMBIGUOUS = re.compile(r"\s \s|\s $")
 
@@ -231,6 +234,18 @@ class Writer:
             x.close()
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose second column has CHUNK bytes at most, or one row."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        if size and size + n > CHUNK:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key: str = "doc_id", length: int = SEQUENCE, end: int = END, remember: tuple[int, int] = REMEMBER) -> DataFrame:
     """Writes all documents in ascending order of key and returns the manifest: part, path, n_docs, n_tokens, n_sequences."""
     spark = docs.sparkSession
@@ -252,8 +267,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key:
                 encoder = Encoder.of(spec.value, remember)
                 small = encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
                 writer = Writer(folder, part, length, np.uint16 if small else np.uint32)
-            for at in range(0, b.num_rows, 500):  # few texts at a time are Python objects
-                some = b.slice(at, 500)
+            for some in slices(b):
                 writer.add(some.column(0).to_pylist(), [np.append(x, np.uint32(end)) for x in encoder.encode(some.column(1).to_pylist())])
         if writer is not None:
             writer.close()
