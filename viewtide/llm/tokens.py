@@ -287,10 +287,13 @@ class Reader:
         self.data, self.docs = ((pa.memory_map(f"{base}{x}.arrow") if local else store.open_input_file(f"{base}{x}.arrow")) for x in ("", ".docs"))
         self.sequences, self.index = pa.ipc.open_file(self.data), pa.ipc.open_file(self.docs)
         self.length = self.sequences.schema.field("input_ids").type.list_size
+        self.at, self.flat = -1, np.zeros(0, np.uint16)
 
     def batch(self, i: int) -> np.ndarray:
-        """All ids of a batch, flat."""
-        return self.sequences.get_batch(i).column(0).flatten().to_numpy(zero_copy_only=True)
+        """All ids of a batch, flat; the last one asked for is kept, as many documents lie in one."""
+        if i != self.at:
+            self.at, self.flat = i, self.sequences.get_batch(i).column(0).flatten().to_numpy(zero_copy_only=True)
+        return self.flat
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of one sequence."""
@@ -308,6 +311,7 @@ class Reader:
             start, n = start + len(got), n - len(got)
 
     def close(self) -> None:
+        self.flat = np.zeros(0, np.uint16)
         for x in (self.data, self.docs):
             x.close()
 
