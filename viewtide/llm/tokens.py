@@ -43,7 +43,7 @@ REMEMBER = (1_000_000, 1_000_000)
 #: Bytes of texts that are Python objects at a time, or one text.
 CHUNK = 4_000_000
 #: White space on both sides of a space, or a space at the end after white space: there the cut before a space could matter.
-AMBIGUOUS = re.compile(r"\s \s|\s $")
+AMBIGUOUS = re.compile(r" (?=\s|$)(?<=\s )")
 
 #: Runs of letters with the space before, runs of ASCII signs (no apostrophe) and single line ends: the byte-level splitter cuts exactly between them.
 PARTS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[!-&(-/:-@\[-`{-~]+|\n(?!\n)")
@@ -205,11 +205,15 @@ class Writer:
         self.held: list[np.ndarray] = []
         self.n_held = self.n_tokens = self.n_docs = self.n_sequences = 0
 
-    def add(self, doc_ids: list, ids: list[np.ndarray]) -> None:
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    def add(self, doc_ids: list, ids: list[np.ndarray], end: int) -> None:
+        """Documents' ids, each followed by the end id."""
+        sizes = np.array([len(x) + 1 for x in ids], dtype=np.int64)
         starts = self.n_tokens + np.cumsum(sizes) - sizes
         self.out[1].write_batch(pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=self.index))
-        self.held += [x.astype(self.dtype) for x in ids]
+        flat, inner = np.full(int(sizes.sum()), end, self.dtype), np.ones(int(sizes.sum()), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        flat[inner] = np.concatenate(ids)
+        self.held.append(flat)
         self.n_held, self.n_tokens, self.n_docs = self.n_held + int(sizes.sum()), self.n_tokens + int(sizes.sum()), self.n_docs + len(ids)
         if self.n_held >= self.length * BATCH:
             flat = np.concatenate(self.held)
@@ -268,7 +272,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key:
                 small = encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
                 writer = Writer(folder, part, length, np.uint16 if small else np.uint32)
             for some in slices(b):
-                writer.add(some.column(0).to_pylist(), [np.append(x, np.uint32(end)) for x in encoder.encode(some.column(1).to_pylist())])
+                writer.add(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{writer.name}", "n_docs": writer.n_docs, "n_tokens": writer.n_tokens, "n_sequences": writer.n_sequences}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
