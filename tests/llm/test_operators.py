@@ -95,6 +95,33 @@ def test_passages(spark, sf_dir, docs):
     assert passages.bands() == (3, 1)
 
 
+def test_verbatim_passages_wherever_they_stand(spark):
+    import random
+
+    rng = random.Random(11)
+    prose = lambda n: [f"w{rng.randrange(400)}" + rng.choice(["", "", "", "", ".", "\n"]) for _ in range(n)]
+    planted = [[f"p{k}q{rng.randrange(300)}" for _ in range(rng.randint(50, 120))] for k in range(15)] + [prose(n) for n in (50, 51, 70, 49)]
+    texts = {i: prose(rng.randint(0, 90)) + planted[i % len(planted)][: None if i % 3 else 60] + prose(rng.randint(0, 90)) for i in range(57)}
+    texts |= {100: ["one"] * 700, 101: ["one"] * 70, 102: ["a", "b"] * 60, 103: ["b"] + ["a", "b"] * 30}
+    texts = {i: " ".join(w).replace("\n ", "\n").lower() for i, w in texts.items()}
+    where, want = defaultdict(set), set()
+    for i, t in texts.items():
+        w = t.split()
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    keeps = {}
+    for i, t in texts.items():
+        w = t.split()
+        for k in range(len(w) - 49):
+            if len(ids := where[tuple(w[k : k + 50])]) > 1:
+                want |= {(i, j) for j in range(k, k + 50)}
+                keeps.setdefault(i, set()).add(min(ids))
+    p = passages.repeated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).filter("unit_no is null").toPandas()
+    assert want and {(r.doc_id, j) for r in p.itertuples() for j in range(r.word_no, r.word_no + r.n_words)} == want
+    assert p.groupby("doc_id").keeper.agg(set).to_dict() == keeps and (p.run_words >= 50).all()
+    assert p.groupby("cluster_id").agg(lambda x: x.nunique()).keeper.eq(1).all() and (p.removed == (p.doc_id != p.keeper)).all()
+
+
 def test_similar_pairs_are_all_joined():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 60, 40).astype(np.uint64)

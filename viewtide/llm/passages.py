@@ -9,6 +9,12 @@ components. A cluster that spans two documents or more marks its units as repeat
 Consecutive repeated units make a run, and runs of RUN words or more are reported: one sentence that recurs by chance is
 no passage. All but the units of the cluster's least document are to be removed.
 
+Sentences do not keep to a passage's ends, so words are compared as well, wherever units end: each window of PASSAGE words that
+two documents have is found, and what they cover is reported. A window's anchor is the least hash of its runs of SEED words. Anchors
+that two documents have pick the windows whose own hashes are then compared; consecutive windows with one anchor are a piece,
+and equal pieces are one class. Of a piece come the windows that repeat, cut where their least document changes: word by word the
+exact shared span, as no window outside repeats. Such rows have word_no (the first word) in place of unit_no, and pieces of a run overlap.
+
 A bucket's classes are distinct texts that share a minimal hash. They stream through one task, where a prefix filter, which
 is exact, picks the pairs to compare; what leaves is a spanning forest, never the pairs.
 
@@ -18,6 +24,7 @@ than LEAST words is not compared and does not break a run. Ties go to the least
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import zlib
@@ -31,10 +38,12 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import common
 from viewtide.llm.components import components
-from viewtide.sources.staging import stage
+from viewtide.sources.staging import new_dir, remove, stage
 
 SHINGLE, THRESHOLD = 5, 0.8
 LEAST, LONG, RUN = 8, 64, 22
+#: Words that make a passage, wherever units end; words of a run that can be an anchor: a power of two, from half of PASSAGE down.
+PASSAGE, SEED = 50, 16
 RECALL = 0.99
 ENDS = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
 #: Fixed odd multipliers for the five words of a shingle and for the bands (from the digits of the golden ratio and of others).
@@ -230,8 +239,133 @@ def tied(candidates: DataFrame, table: DataFrame, threshold: float = THRESHOLD)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+class _Hashes(dict):
+    """Words -> their hashes, each made once."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _widened(x: np.ndarray, have: int, want: int, join) -> np.ndarray:
+    """Values of runs of have words -> those of want words, by doubling and a last overlapping step."""
+    while have < want:
+        by = min(have, want - have)
+        x, have = join(x[: len(x) - by], x[by:], by), have + by
+    return x
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word, anchor and hash of each window of PASSAGE words, in order."""
+    known = _Hashes()
+    parts = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in map(common.lower_words, texts)]
+    n = np.array([len(x) for x in parts], np.int64)
+    whole = np.maximum(n - PASSAGE + 1, 0)
+    if not whole.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    mix = lambda a, b, by: _mixed(a * _MIX[0] + _mixed(b * _MIX[3] + np.uint64(by)))
+    seeds = _widened(np.concatenate(parts), 1, SEED, mix)
+    hashes = _widened(seeds, SEED, PASSAGE, mix)
+    least = _widened(seeds, 1, PASSAGE - SEED + 1, lambda a, b, _: np.minimum(a, b))
+    text = np.repeat(np.arange(len(n)), whole)
+    first = np.arange(len(text)) - np.repeat(np.cumsum(whole) - whole, whole)
+    at = np.repeat(np.cumsum(n) - n, whole) + first
+    return text, first, least[at], hashes[at]
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """a, doc_id: each document's distinct anchors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop()
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                text, _, a, _ = windows(part.column(1).to_pylist())
+                if not len(a):
+                    continue
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])))
+                a, text = a[new], text[new]
+                order = np.lexsort((a, text))
+                a, text = a[order], text[order]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(part.column(0).to_numpy()[text[new]])], names=["a", "doc_id"])
+
+    return docs.mapInArrow(run, "a long, doc_id long")
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """doc_id, text, picked (anchors) -> doc_id, at (its first window), a, class, windows (their hashes): consecutive windows with one anchor among the picked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        common.drop()
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                text, first, a, h = windows(part.column(1).to_pylist())
+                wanted = part.column(2)
+                of = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy()).astype(np.uint64)
+                keep = np.isin(_mixed(a + text.astype(np.uint64) * _MIX[1]), _mixed(wanted.flatten().to_numpy().view(np.uint64) + of * _MIX[1]))
+                text, first, a, h = text[keep], first[keep], a[keep], h[keep]
+                if not len(a):
+                    continue
+                edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (text[1:] != text[:-1]) | (first[1:] != first[:-1] + 1), [True])))
+                start, raw = edge[:-1], h.tobytes()
+                classes = np.array([xxhash.xxh64_intdigest(raw[8 * s : 8 * e]) for s, e in zip(start.tolist(), edge[1:].tolist())], np.uint64)
+                columns = [pa.array(part.column(0).to_numpy()[text[start]]), pa.array(first[start].astype(np.int32)), pa.array(a[start].view(np.int64)), pa.array(classes.view(np.int64))]
+                columns.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(h.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "a", "class", "windows"])
+
+    return docs.mapInArrow(run, "doc_id long, at int, a long, class long, windows array<long>")
+
+
+def verbatim(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, word_no, n_words, cluster_id, keeper, run_words, removed: all words in windows of PASSAGE words that two documents have, staged."""
+    spark = docs.sparkSession
+    common.ready(spark)
+    made: list[str] = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        made.append(new_dir(spark, name))
+        df.write.option("compression", "zstd").parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    d = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).dropna()
+    found = held(anchors(d), "anchors")
+    twice = found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a")
+    picked = found.join(twice, "a").groupBy("doc_id").agg(F.collect_list("a").alias("picked"))
+    parts = held(pieces(d.join(picked, "doc_id").select("doc_id", "text", "picked")), "pieces")
+    classes = parts.groupBy("class").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("a").alias("a"), F.min("windows").alias("windows"))
+    each = held(classes.select("class", "a", "lo", "hi", F.posexplode("windows").alias("j", "h")), "windows")
+    same = each.groupBy("h").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).filter("keeper < last").drop("last")
+    # of each class the stretches of repeated windows with one least document
+    w = Window.partitionBy("class", "keeper").orderBy("j")
+    spans = each.select("class", "a", "j", "h").join(same, "h").withColumn("run", F.col("j") - F.row_number().over(w))
+    spans = spans.groupBy("class", "a", "keeper", "run").agg(F.min("j").alias("from"), F.max("j").alias("to")).drop("run")
+    rows = parts.select("doc_id", "at", "class").join(spans, "class")
+    rows = rows.select("doc_id", (F.col("at") + F.col("from")).alias("word_no"), (F.col("to") - F.col("from") + PASSAGE).alias("n_words"), F.xxhash64("a", "keeper").alias("cluster_id"), "keeper")
+    # a document's rows that touch or overlap are one run
+    w = Window.partitionBy("doc_id").orderBy("word_no", "n_words")
+    end = F.col("word_no") + F.col("n_words")
+    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("run", F.sum(F.coalesce((F.col("word_no") > before).cast("int"), F.lit(1))).over(w))
+    one = Window.partitionBy("doc_id", "run")
+    rows = rows.withColumn("run_words", (F.max(end).over(one) - F.min("word_no").over(one)).cast("long")).drop("run")
+    out = stage(rows.withColumn("removed", F.col("doc_id") != F.col("keeper")), "verbatim")
+    # their disk is needed for what follows; shuffles go when their plans do
+    for path in made:
+        remove(spark, path)
+    del found, twice, picked, parts, classes, each, same, spans, rows, d
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, unit_no, n_words, cluster_id, keeper (the cluster's least document), run_words, removed: units of passages that repeat across documents."""
+    """doc_id, unit_no, n_words, cluster_id, keeper (the cluster's least document), run_words, removed: units of passages that repeat across documents; and the rows of verbatim(), where unit_no is null (elsewhere word_no is)."""
+    exact = verbatim(docs, text, key)
     table = unit_table(docs, text, key)
     candidates = stage(shared(band_rows(table, *bands(threshold))), "candidates")
     labels = components(tied(candidates, table, threshold), "passages").withColumnRenamed("node", "class")
@@ -244,9 +378,10 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words
     broken = F.coalesce((F.col("unit_no") - F.lag("unit_no").over(w) > 1).cast("int"), F.lit(1))
     runs = marked.withColumn("new", broken).withColumn("run", F.sum("new").over(w))
     runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    return runs.filter(F.col("run_words") >= run_words).select("doc_id", "unit_no", "n_words", "cluster_id", "keeper", "run_words", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    runs = runs.filter(F.col("run_words") >= run_words).select("doc_id", "unit_no", "n_words", "cluster_id", "keeper", "run_words", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    return runs.unionByName(exact, allowMissingColumns=True)
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each unit of a repeated passage, with its document, cluster, and whether it is to go."""
+    """One row for each unit and each piece of a repeated passage, with its document, cluster, and whether it is to go."""
     return repeated(common.plain(common.read(spark, sf_dir, "documents"), "doc_id", "text"))
