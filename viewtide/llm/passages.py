@@ -100,7 +100,7 @@ def unit_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            known: dict[bytes, int] = {}
+            known = _Hashes()
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 ids, numbers, sizes, classes, hashes = [], [], [], [], []
@@ -110,11 +110,7 @@ def unit_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                         numbers.append(i)
                         sizes.append(len(words))
                         classes.append(digest(b" ".join(words)))
-                        for w in words:
-                            h = known.get(w)
-                            if h is None:
-                                h = known[w] = digest(w)
-                            hashes.append(h)
+                        hashes.extend(map(known.__getitem__, words))
                 if not ids:
                     continue
                 h, n = np.array(hashes, np.uint64), np.array(sizes, np.int64)
@@ -239,6 +235,12 @@ def tied(candidates: DataFrame, table: DataFrame, threshold: float = THRESHOLD)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _free(spark: SparkSession) -> None:
+    """Has Spark delete the shuffles of plans that nothing holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class _Hashes(dict):
     """Words -> their hashes, each made once."""
 
@@ -358,8 +360,7 @@ def verbatim(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     for path in made:
         remove(spark, path)
     del found, twice, picked, parts, classes, each, same, spans, rows, d
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _free(spark)
     return out
 
 
@@ -368,7 +369,9 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words
     exact = verbatim(docs, text, key)
     table = unit_table(docs, text, key)
     candidates = stage(shared(band_rows(table, *bands(threshold))), "candidates")
+    _free(docs.sparkSession)
     labels = components(tied(candidates, table, threshold), "passages").withColumnRenamed("node", "class")
+    _free(docs.sparkSession)
     spans = table.groupBy("class").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).join(labels, "class", "left")
     spans = spans.filter((F.col("lo") < F.col("hi")) | F.col("component").isNotNull()).withColumn("cluster_id", F.coalesce("component", "class"))
     spans = stage(spans.select("class", "cluster_id", "lo", "hi"), "spans")
