@@ -204,6 +204,12 @@ def test_simhash(spark, sf_dir, docs):
     assert all(p.component_id[i] == root(i) for i in ids)
 
 
+def test_near_duplicates_are_verified(spark):
+    line = "one line that comes again and again "  # repeated shingles must not outweigh the rest
+    rows = [(k, line * 60 + " ".join(f"tail{k}x{j}" for j in range(60)), "en", "s") for k in range(5)]
+    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).count() == 5
+
+
 def test_links_in_large_buckets():
     rng = np.random.default_rng(5)
     lo = np.unique(rng.integers(0, 1 << 14, 3000)).astype(np.uint64)

@@ -12,6 +12,9 @@ large and small stars, and equal fingerprints are collapsed before all this.
 A bucket's members pass through one task. They are distinct fingerprints with an equal segment, 8 or 16
 bytes each; blocks of them are compared, so time and not memory grows with a bucket.
 
+keep_one() does not trust bits: MinHash bands of the distinct shingles join what SimHash links may miss, the components of both are
+candidates only, and in each the sets of distinct shingles are compared exactly. Only pairs at the scheme's similarity are links there.
+
 Nulls: a null text has no words and the fingerprint zero, which links like any other. A null id is never the smallest id of a component unless
 it has no other. Repeated rows have equal rows in the result. An empty table gives no rows.
 """
@@ -47,6 +50,10 @@ class Scheme:
     bits: int = 64
     width: int = 32
     distance: int = 2
+    #: Repeated shingles count once; (bands, rows) of MinHash keys beside the segments; links of keep_one() have this Jaccard similarity at least.
+    distinct: bool = False
+    bands: tuple[int, int] = (0, 0)
+    jaccard: float = 0.0
 
     @property
     def segments(self) -> int:
@@ -55,25 +62,54 @@ class Scheme:
 
 EXACT = Scheme()
 #: For a similarity of 0.8 on five-word shingles: there 15 % of the bits differ on average, 19 of 128 with a deviation of 4.
-SIMILAR = Scheme(ngram=5, bits=128, width=16, distance=26)
+SIMILAR = Scheme(ngram=5, bits=128, width=16, distance=26, distinct=True, jaccard=0.8)
 
 
-def fingerprint(text: str | None, scheme: Scheme) -> bytes:
-    """bits / 8 bytes, the highest bit first."""
+def shingles(text: str | None, scheme: Scheme) -> list[bytes]:
+    """The hashes of a text's word shingles; of one shingle where the words are fewer."""
     import xxhash
 
     words = common.lower_words(text)
     if not words:
-        return bytes(scheme.bits // 8)
+        return []
     k = scheme.ngram
     digest = xxhash.xxh64_digest if scheme.bits == 64 else xxhash.xxh3_128_digest
     if len(words) <= k:
-        hashes = [digest(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
+        return [digest(b" ".join(words), 42)]
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    hashes = [digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
+    return list(set(hashes)) if scheme.distinct else hashes
+
+
+def as_set(hashes: list[bytes]) -> np.ndarray:
+    """The low halves of distinct 128-bit hashes, sorted."""
+    return np.unique(np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)[:, 1])
+
+
+def band_keys(x: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """One key for each band: its number and least values; texts without words have none."""
+    n, rows = scheme.bands
+    if not len(x):
+        return np.zeros(0, np.int64)
+    odd = np.random.default_rng(42).integers(0, 1 << 63, (n * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.array([((x ^ a) * b).min() for a, b in odd], np.uint64).reshape(n, rows)
+    k = np.arange(n, dtype=np.uint64)
+    for j in range(rows):
+        k = (k ^ least[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        k ^= k >> np.uint64(29)
+    return k.view(np.int64)
+
+
+def fingerprint(text: str | None, scheme: Scheme) -> bytes:
+    """bits / 8 bytes, the highest bit first."""
+    return print_of(shingles(text, scheme), scheme)
+
+
+def print_of(hashes: list[bytes], scheme: Scheme) -> bytes:
+    if not hashes:
+        return bytes(scheme.bits // 8)
     n = len(hashes)
     bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(n, -1), axis=1)
     counts = np.zeros(scheme.bits, np.int64)
@@ -225,22 +261,91 @@ def link(distinct: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def group(prints: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """Rows of fingerprints() -> the same with component (a number of its own) and component_id, the least key reachable over links."""
+    """With bands, their members are joined as well. Rows of fingerprints() -> the same with component (a number of its own) and component_id, the least key reachable over links."""
     prints = stage(prints, "prints")
     node = F.xxhash64("hi", "lo") if scheme.bits == 128 else F.col("lo")
     distinct = stage(prints.groupBy("hi", "lo").agg(F.min("key").alias("least")), "distinct")
     edges = link(distinct, scheme)
     ends = [F.xxhash64(f"{x}_hi", f"{x}_lo").alias(x) if scheme.bits == 128 else F.col(f"{x}_lo").alias(x) for x in "ab"]
-    labels = components(edges.select(*ends), "simhash")
+    edges = edges.select(*ends)
+    if scheme.bands[0]:
+        met = prints.select(node.alias("a"), F.explode("bands").alias("k")).distinct()
+        least = met.groupBy("k").agg(F.min("a").alias("b"), F.max("a").alias("last")).filter("b < last").select("k", "b")
+        edges = edges.unionByName(met.join(least, "k").filter("a <> b").select("a", "b").distinct())
+    labels = components(edges, "simhash")
     nodes = distinct.withColumn("node", node).join(labels, "node", "left")
     least = nodes.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(least, "component", "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "node").alias("component"))
     return prints.join(nodes, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).drop("h", "l")
 
 
+def sketches(docs: DataFrame, scheme: Scheme, text: str, key: str) -> DataFrame:
+    """fingerprints() with node (a hash of the set of shingles) and bands."""
+    common.ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        common.drop()
+        for b in batches:
+            raw, nodes, bands = [], [], []
+            for t in b.column(2).to_pylist():
+                found = shingles(t, scheme)
+                x = as_set(found)
+                raw.append(print_of(found, scheme))
+                nodes.append(xxhash.xxh64_intdigest(x.tobytes()))
+                bands.append(band_keys(x, scheme))
+            raw = np.frombuffer(b"".join(raw), ">i8").reshape(b.num_rows, 2).astype(np.int64)
+            columns = [b.column(0), b.column(1), pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "hi", "lo", "set", "bands"])
+        common.give_back()
+
+    d = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("body"), F.col(f"`{text}`").alias("text"))
+    return d.mapInArrow(run, f"key {d.schema['key'].dataType.simpleString()}, body long, hi long, lo long, set long, bands array<long>")
+
+
+def verified(found: DataFrame, docs: DataFrame, scheme: Scheme, text: str, key: str) -> DataFrame:
+    """Edges (a, b) of sets that share a component and have the scheme's Jaccard similarity: they join the same sets as all such pairs do."""
+    from viewtide.llm.passages import similar
+
+    many = found.groupBy("component").agg(F.min("set").alias("m"), F.max("set").alias("last")).filter("m < last").select("component")
+    asked = found.join(many, "component").groupBy("set", "component").agg(F.min(F.struct("key", "body")).alias("m")).select("component", "set", F.col("m.key").alias("k"), F.col("m.body").alias("b"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [as_set(shingles(t, scheme)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["component", "set", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, held = None, [], []
+
+        def done():
+            pairs = similar(held, scheme.jaccard)
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in pairs], pa.int64()), pa.array([names[j] for _, j in pairs], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for c, s, raw in zip(*(x.to_pylist() for x in b.columns)):
+                if c != now and names:
+                    yield done()
+                    names, held = [], []
+                now = c
+                if not names or names[-1] != s:
+                    names.append(s)
+                    held.append(np.frombuffer(raw, np.uint64))
+        if names:
+            yield done()
+
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("body"), F.col(f"`{text}`").alias("text"))
+    # one document of each set, so that copies do not travel
+    rows = texts.join(asked, texts["key"].eqNullSafe(asked["k"]) & (texts["body"] == asked["b"])).select("component", "set", "text").mapInArrow(sets, "component long, set long, shingles binary")
+    return rows.repartition("component").sortWithinPartitions("component", "set").mapInArrow(compare, "a long, b long")
+
+
 def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: that of the least key, and of rows with that key the one whose text's hash is least."""
-    found = group(fingerprints(docs, scheme, text, key), scheme)
+    """docs with one row of each component of verified links: that of the least key, and of rows with that key the one whose text's hash is least."""
+    found = stage(group(sketches(docs, scheme, text, key), scheme).select("key", "body", "set", "component"), "found")
+    labels = components(verified(found, docs, scheme, text, key), "similar").select("node", F.col("component").alias("label"))
+    found = found.join(labels, found["set"] == labels["node"], "left").withColumn("component", F.coalesce("label", "set"))
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "body")).alias("m")).select("m.key", "m.body")
     body, rank = common.fresh(docs, "__body"), common.fresh(docs, "__rank")
     rows = docs.withColumn(body, F.xxhash64(F.col(f"`{text}`")))
