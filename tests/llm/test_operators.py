@@ -210,6 +210,51 @@ def test_near_duplicates_are_verified(spark):
     assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).count() == 5
 
 
+def near_wanted(docs):
+    """The ids that stay where links are exactly the pairs at 0.8 on distinct five-word shingles."""
+    sets = {}
+    for i, t in docs.items():
+        w = low(t).split()
+        sets[i] = frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    least, where = {i: i for i in sets}, defaultdict(list)
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in sorted(sets):
+        both = Counter(j for x in sets[i] for j in where[x])
+        for j in both if sets[i] else [j for j in sets if j < i and not sets[j]]:
+            if both[j] >= 0.8 * (len(sets[i]) + len(sets[j]) - both[j]):
+                x, y = root(i), root(j)
+                least[max(x, y)] = min(x, y)
+        for x in sets[i]:
+            where[x].append(i)
+    return {i for i in sets if root(i) == i}
+
+
+def test_near_duplicates_are_exact(spark, sf_dir):
+    import random
+
+    rng = random.Random(7)
+    texts = {}
+    for g in range(60):
+        base = [f"g{g}w{rng.randrange(500)}" for _ in range(rng.randint(40, 200))]
+        for _ in range(4):  # some above and some below 0.8
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randrange(10**6)
+            texts[len(texts)] = " ".join(w)
+    line = "one line that comes again and again "  # repeated shingles must not outweigh the rest
+    texts |= {1000 + k: line * 60 + " ".join(f"tail{k}x{j}" for j in range(60)) for k in range(5)}
+    rows = [(i, t, "en", "s") for i, t in texts.items()]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    assert set(got.doc_id) == near_wanted(texts)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert {r["doc_id"] for r in simhash.keep_one(d).select("doc_id").collect()} == near_wanted({r["doc_id"]: r["text"] for r in d.collect()})
+
+
 def test_links_in_large_buckets():
     rng = np.random.default_rng(5)
     lo = np.unique(rng.integers(0, 1 << 14, 3000)).astype(np.uint64)

@@ -62,7 +62,8 @@ class Scheme:
 
 EXACT = Scheme()
 #: For a similarity of 0.8 on five-word shingles: there 15 % of the bits differ on average, 19 of 128 with a deviation of 4.
-SIMILAR = Scheme(ngram=5, bits=128, width=16, distance=26, distinct=True, jaccard=0.8)
+#: Segments alone miss a tenth of these pairs; 20 bands of 8 rows meet with a chance of 0.97.
+SIMILAR = Scheme(ngram=5, bits=128, width=16, distance=26, distinct=True, bands=(20, 8), jaccard=0.8)
 
 
 def shingles(text: str | None, scheme: Scheme) -> list[bytes]:
