@@ -1,18 +1,22 @@
 """Quality rules with adaptive thresholds (operator 2), in DataFrame functions only.
 
-Each document's ratios (symbols to words, words in repeated windows, repeated lines, mean word length, capital
-letters) are whole numbers: parts in ten thousand. Their distributions are kept as mergeable quantile
-sketches per language and source: counts over log-linear buckets, which are exact below 64 and within 1/64 above, have a bounded number
-of buckets, and merge by adding counts. From each group's sketch come quartiles, and from
-these a fence: the upper quartile plus FENCE times the distance of the quartiles (at least a floor). A group with fewer
-than LEAST documents takes the sketch of its language, and below that of the whole corpus, both merged from the groups'.
-The thresholds are joined to the documents, and a document beyond a fence goes.
-
-The metrics are computed once and staged, as the thresholds and the filter both read them. All windows run inside rows:
+Each rule has a count and the units that it is counted over: symbols, words in repeated windows and characters over words,
+repeated lines over lines, capital letters over characters. Their rates are whole numbers, parts in ten thousand. The rates' distributions
+are kept as mergeable quantile sketches per language and source: counts over log-linear buckets, which are exact below 64 and within
+1/64 above, have a bounded number of buckets, and merge by adding counts. The sketches are staged once; those of a language and of the
+whole corpus are merged from them.
+
+A group's distribution is its own sketch, with its language's and the corpus's mixed in at the weight of PRIOR documents each: a small group leans on
+them, a large one on itself, and no size switches. From it come the median and the upper decile, and the group's fence is the decile plus TAIL times its
+distance from the median. A document goes when its count is more than CHANCE deviations (and CHANCE events) beyond what the fence's rate gives over its
+units: so the spread of the group decides, and a short text is not judged on a few events.
+
+The metrics are computed once and staged, as the sketches and the filter both read them. All windows run inside rows:
 window hashes are sorted with their positions, and neighbours compared.
 
 Nulls: a null text has no words, and fails the base rule; null languages and sources are groups of their own. Repeated rows count each. An
-empty table gives no rows. Ties: a value at the fence is kept.
+empty table gives no rows. Ties: a count at the limit is kept. A very long text is one row; its arrays take some 40 bytes a word in one task. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ from viewtide.llm import common
 from viewtide.sources.staging import stage
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-FENCE = 8
-#: Documents that a group needs for thresholds of its own.
-LEAST = 100
-#: Metrics, and the least distance of the quartiles that the fence uses, in ten thousandths (mean word length: hundredths).
-FLOORS = {"symbols": 250, "repeats": 500, "dup_lines": 300, "capitals": 250, "word_length": 50}
+#: The upper quantile in tenths, how many times its distance from the median the fence lies beyond it, and deviations that are chance.
+UPPER, TAIL, CHANCE = 9, 12, 8
+#: Documents' worth of its language, and of the corpus, in each group's distribution.
+PRIOR = 300
+#: Rules: the count and its units.
+RULES = {"symbols": ("n_symbols", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "capitals": ("n_capitals", "word_chars"), "word_length": ("word_chars", "n_words")}
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 
@@ -39,7 +44,7 @@ def _without(text, signs: str):
 
 
 def metrics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """keep columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_capitals."""
+    """keep columns with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_capitals."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     d = docs.select(*(F.col(f"`{c}`") for c in keep), body.alias("__t"))
     d = d.withColumn("__w", F.filter(F.split("__t", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
@@ -49,6 +54,7 @@ def metrics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.size("__w").cast("long").alias("n_words"),
         F.length(_without(F.col("__t"), SPACES)).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(_without(F.col("__t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         (F.length("__t") - F.length(F.regexp_replace("__t", "[A-Z]+", ""))).cast("long").alias("n_capitals"),
         # hashes of the words; those of three in a row make a window's
@@ -69,17 +75,9 @@ def metrics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__s")
 
 
-def ratios() -> dict:
-    """The rules' metrics as whole numbers."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    whole = lambda x: F.floor(x).cast("long")
-    return {
-        "symbols": whole(F.col("n_symbols") * 10000 / words),
-        "repeats": whole(F.col("n_repeat_words") * 10000 / words),
-        "dup_lines": whole(F.col("n_dup_lines") * 10000 / words),
-        "capitals": whole(F.col("n_capitals") * 10000 / chars),
-        "word_length": whole(F.col("word_chars") * 100 / words),
-    }
+def rates() -> dict:
+    """Each rule's rate as a whole number."""
+    return {m: F.floor(F.col(e) * 10000 / F.greatest(F.col(n), F.lit(1))).cast("long") for m, (e, n) in RULES.items()}
 
 
 def sketch(values: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
@@ -93,40 +91,50 @@ def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """groups, metric, total, q1, q3: the lower ends of the buckets where the running count reaches a quarter and three quarters. A window holds a sketch's buckets."""
+def running(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """The sketches with below (documents up to the bucket) and total. A window holds the buckets of one sketch."""
     w = Window.partitionBy(*groups, "metric")
-    run = sketches.withColumns({"below": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
-    reach = lambda k: F.min(F.when(F.col("below") * 4 >= F.col("total") * k, F.col("bucket")))
-    return run.groupBy(*groups, "metric").agg(F.max("total").alias("total"), reach(1).alias("q1"), reach(3).alias("q3"))
+    return sketches.withColumns({"below": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
 
 
-def thresholds(values: DataFrame, least: int = LEAST) -> DataFrame:
+def thresholds(values: DataFrame) -> DataFrame:
     """kl, ks (text forms of language and source) and a fence for each metric."""
-    fine = sketch(values, ["kl", "ks"], list(FLOORS))
-    levels = [quartiles(fine, ["kl", "ks"]), quartiles(merge(fine, ["kl"]), ["kl"]), quartiles(merge(fine, []), [])]
-    t = levels[0].join(levels[1].select("kl", "metric", F.struct("total", "q1", "q3").alias("l1")), ["kl", "metric"]).join(levels[2].select("metric", F.struct("total", "q1", "q3").alias("l2")), "metric")
-    own = F.struct("total", "q1", "q3")
-    used = F.when(F.col("total") >= least, own).when(F.col("l1.total") >= least, F.col("l1")).otherwise(F.col("l2"))
-    floor = F.element_at(F.create_map(*(F.lit(x) for kv in FLOORS.items() for x in kv)), F.col("metric"))
-    t = t.withColumn("u", used).withColumn("fence", F.col("u.q3") + FENCE * F.greatest(F.col("u.q3") - F.col("u.q1"), floor.cast("long")))
-    return t.groupBy("kl", "ks").agg(*(F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"max_{m}") for m in FLOORS))
+    own = stage(sketch(values, ["kl", "ks"], list(RULES)), "sketch")
+    lang = running(merge(own, ["kl"]), ["kl"])
+    corpus = running(merge(own, []), []).select("metric", "bucket", F.col("below").alias("bc"), F.col("total").alias("nc"))
+    share = F.lit(PRIOR) * F.col("below") / F.col("total") + F.lit(PRIOR) * F.col("bc") / F.col("nc")
+    prior = lang.join(corpus, ["metric", "bucket"]).select("kl", "metric", "bucket", "below", "total", share.alias("share"))
+    # a group's quantile is one of its own buckets or of its language's quantiles: those are all in the language's sketch
+    marks = [F.min(F.when(F.col("below") * 10 >= F.col("total") * k, F.col("bucket"))) for k in (5, UPPER)]
+    marks = prior.groupBy("kl", "metric").agg(F.array(*marks).alias("marks")).select("kl", "metric", F.explode("marks").alias("bucket"))
+    marks = own.select("kl", "ks", "metric").distinct().join(marks, ["kl", "metric"]).select("kl", "ks", "metric", "bucket", F.lit(0).cast("long").alias("n"))
+    every = running(own.select("kl", "ks", "metric", "bucket", "n").unionByName(marks).groupBy("kl", "ks", "metric", "bucket").agg(F.sum("n").alias("n")), ["kl", "ks"])
+    every = every.join(prior.select("kl", "metric", "bucket", "share"), ["kl", "metric", "bucket"])
+    reach = lambda k: F.coalesce(F.min(F.when((F.col("below") + F.col("share")) * 10 >= (F.col("total") + 2 * PRIOR) * k, F.col("bucket"))), F.max("bucket"))
+    t = every.groupBy("kl", "ks", "metric").agg(reach(5).alias("mid"), reach(UPPER).alias("top"))
+    t = t.withColumn("fence", F.col("top") + TAIL * (F.col("top") - F.col("mid")))
+    return t.groupBy("kl", "ks").agg(*(F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"max_{m}") for m in RULES))
+
+
+def within(metric: str):
+    """Whether the count is no more than chance beyond the fence; true where the group has none."""
+    e, n = RULES[metric]
+    usual = F.col(f"max_{metric}") * F.col(n) / F.lit(10000.0)
+    return F.coalesce(F.col(e) <= usual + F.lit(CHANCE) * F.sqrt(usual) + F.lit(CHANCE), F.lit(True))
 
 
 def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
-    """key, the metrics, base_failed, the ratios, their fences, and kept."""
+    """key, the metrics, base_failed, the rates, their fences, and kept."""
     m = metrics(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source")), "text", ("key", "lang", "source"))
     name = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(c)))
-    m = m.select("key", name("lang").alias("kl"), name("source").alias("ks"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
-    m = stage(m.withColumns(ratios()), "quality")
+    m = m.select("key", name("lang").alias("kl"), name("source").alias("ks"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    m = m.withColumn("base_failed", failed)
+    m = stage(m.withColumns(rates()).withColumn("base_failed", failed), "quality")
     fences = thresholds(m.filter(~F.col("base_failed")))
-    within = [F.col(x) <= F.coalesce(F.col(f"max_{x}"), F.lit(1 << 62)) for x in FLOORS]
-    ok = within[0]
-    for x in within[1:]:
-        ok = ok & x
-    return m.join(fences, ["kl", "ks"], "left").withColumn("kept", ~F.col("base_failed") & ok).withColumnRenamed("key", key).drop("kl", "ks")
+    ok = ~F.col("base_failed")
+    for x in RULES:
+        ok = ok & within(x)
+    return m.join(fences, ["kl", "ks"], "left").withColumn("kept", ok).withColumnRenamed("key", key).drop("kl", "ks")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,20 +143,20 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_RATIOS = {
-    "symbols": "n_symbols * 10000 / greatest(n_words, 1)",
-    "repeats": "n_repeat_words * 10000 / greatest(n_words, 1)",
-    "dup_lines": "n_dup_lines * 10000 / greatest(n_words, 1)",
-    "capitals": "n_capitals * 10000 / greatest(word_chars, 1)",
-    "word_length": "word_chars * 100 / greatest(n_words, 1)",
-}
+def _running(name: str, groups: str, source: str) -> str:
+    by = f"{groups}, metric" if groups else "metric"
+    return f"""{name} AS (SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
+       FROM (SELECT {by}, bucket, sum(n) AS n FROM {source} GROUP BY {by}, bucket))"""
 
 
-def _level(name: str, groups: str) -> str:
-    by = f"{groups}, metric" if groups else "metric"
-    return f"""{name} AS (SELECT {by}, max(total) AS total, min(bucket) FILTER (below * 4 >= total) AS q1, min(bucket) FILTER (below * 4 >= total * 3) AS q3
- FROM (SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
-       FROM (SELECT {by}, bucket, sum(n) AS n FROM sk GROUP BY {by}, bucket)) GROUP BY {by})"""
+def _reach(k: int) -> str:
+    return f"coalesce(min(bucket) FILTER ((below + share) * 10 >= (total + {2 * PRIOR}) * {k}), max(bucket))"
+
+
+def _within(m: str) -> str:
+    e, n = RULES[m]
+    usual = f"(max_{m}::DOUBLE * {n} / 10000.0::DOUBLE)"
+    return f"coalesce({e} <= {usual} + {CHANCE} * sqrt({usual}) + {CHANCE}, true)"
 
 
 SQL = rf"""
@@ -159,21 +167,23 @@ g AS (SELECT rid, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambd
 d AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
 rp AS (SELECT rid, count(DISTINCT i + k) AS n FROM d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
 m AS (SELECT doc_id, kl, ks, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
-             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(rp.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
       FROM w LEFT JOIN rp USING (rid)),
 v AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words) AS base_failed,
-      {', '.join(f'floor({x})::BIGINT AS {m}' for m, x in _RATIOS.items())} FROM m),
+      {', '.join(f'floor({e} * 10000 / greatest({n}, 1))::BIGINT AS {m}' for m, (e, n) in RULES.items())} FROM m),
 sk AS (SELECT kl, ks, metric, ((v >> sh) << sh) AS bucket, count(*) AS n FROM
   (SELECT kl, ks, metric, v, greatest(length(bin(v)) - 7, 0)::INTEGER AS sh FROM
-    (SELECT kl, ks, unnest([{', '.join(repr(m) for m in FLOORS)}]) AS metric, unnest([{', '.join(FLOORS)}]) AS v FROM v WHERE NOT base_failed)) GROUP BY ALL),
-{_level('l0', 'kl, ks')}, {_level('l1', 'kl')}, {_level('l2', '')},
-f AS (SELECT kl, ks, metric, q3 + {FENCE} * greatest(q3 - q1, MAP {{{', '.join(f"'{m}': {x}" for m, x in FLOORS.items())}}}[metric]) AS fence FROM (
-  SELECT l0.kl, l0.ks, l0.metric, CASE WHEN l0.total >= {LEAST} THEN l0.q1 WHEN l1.total >= {LEAST} THEN l1.q1 ELSE l2.q1 END AS q1,
-         CASE WHEN l0.total >= {LEAST} THEN l0.q3 WHEN l1.total >= {LEAST} THEN l1.q3 ELSE l2.q3 END AS q3
-  FROM l0 JOIN l1 ON l0.kl = l1.kl AND l0.metric = l1.metric JOIN l2 ON l0.metric = l2.metric)),
-p AS (SELECT kl, ks, {', '.join(f"max(fence) FILTER (metric = '{m}') AS max_{m}" for m in FLOORS)} FROM f GROUP BY kl, ks)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND {' AND '.join(f'{m} <= coalesce(max_{m}, 4611686018427387904)' for m in FLOORS)}) AS kept
+    (SELECT kl, ks, unnest([{', '.join(repr(m) for m in RULES)}]) AS metric, unnest([{', '.join(RULES)}]) AS v FROM v WHERE NOT base_failed)) GROUP BY ALL),
+{_running('l', 'kl', 'sk')}, {_running('c', '', 'sk')},
+prior AS (SELECT l.*, {PRIOR} * l.below::DOUBLE / l.total::DOUBLE + {PRIOR} * c.below::DOUBLE / c.total::DOUBLE AS share FROM l JOIN c ON l.metric = c.metric AND l.bucket = c.bucket),
+marks AS (SELECT kl, metric, unnest([min(bucket) FILTER (below * 10 >= total * 5), min(bucket) FILTER (below * 10 >= total * {UPPER})]) AS bucket FROM prior GROUP BY kl, metric),
+own AS (SELECT kl, ks, metric, bucket, n FROM sk UNION ALL SELECT x.kl, x.ks, x.metric, marks.bucket, 0 FROM (SELECT DISTINCT kl, ks, metric FROM sk) x JOIN marks ON x.kl = marks.kl AND x.metric = marks.metric),
+{_running('every', 'kl, ks', 'own')},
+f AS (SELECT kl, ks, metric, top + {TAIL} * (top - mid) AS fence FROM (
+  SELECT e.kl, ks, e.metric, {_reach(5)} AS mid, {_reach(UPPER)} AS top
+  FROM (SELECT kl, ks, metric, bucket, below::DOUBLE AS below, total::DOUBLE AS total FROM every) e JOIN (SELECT kl, metric, bucket AS b, share FROM prior) p ON e.kl = p.kl AND e.metric = p.metric AND e.bucket = p.b GROUP BY ALL)),
+p AS (SELECT kl, ks, {', '.join(f"max(fence) FILTER (metric = '{m}') AS max_{m}" for m in RULES)} FROM f GROUP BY kl, ks)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {' AND '.join(map(_within, RULES))}) AS kept
 FROM v LEFT JOIN p USING (kl, ks)
 """
