@@ -1,33 +1,30 @@
 """Substring deduplication: passages that repeat across documents (operator 5), by paragraph MinHash banding.
 
-A text is cut into units: at line ends and after sentence ends; a unit without either that is longer than LONG words
-is cut after words that their hash picks, which are the same wherever the passage stands. Units of at least LEAST words
-are compared on their sets of five-word shingles. bands() tunes banding for recall at the threshold: single rows, three bands,
-at 0.8. Units that meet in a band are joined, their Jaccard similarity is computed from the whole
-shingle sets, and units at 0.8 or more are tied; equal units are one class from the start. Clusters are the
-components. A cluster that spans two documents or more marks its units as repeated.
-Consecutive repeated units make a run, and runs of RUN words or more are reported: one sentence that recurs by chance is
-no passage. All but the units of the cluster's least document are to be removed.
-
-Sentences do not keep to a passage's ends, so words are compared as well, wherever units end: each window of PASSAGE words that
-two documents have is found, and what they cover is reported. A window's anchor is the least hash of its runs of SEED words. Anchors
-that two documents have pick the windows whose own hashes are then compared; consecutive windows with one anchor are a piece,
-and equal pieces are one class. Of a piece come the windows that repeat, cut where their least document changes: word by word the
+A paragraph is a line with a word in it. Every paragraph is compared, on its set of five-word shingles (one of fewer words is one
+shingle). bands() tunes the banding for recall at the threshold: nine bands of four rows at 0.8. Paragraphs that meet in a band are joined, their Jaccard
+similarity is computed from the whole shingle sets, and those at 0.8 or more are tied; equal paragraphs are one class from the start. Clusters are
+the components. A cluster that spans two documents or more marks its paragraphs as repeated. Consecutive repeated paragraphs make a run, and a run
+of PASSAGE words or more is a passage: a line that recurs alone is none. (repeated() takes any least number of words, 1 for every repeated paragraph.)
+All but the paragraphs of the cluster's least document are to be removed.
+
+Passages do not keep to lines, so the same is done for sliding paragraphs: each window of PASSAGE words has the least hash of its runs of SEED words as its
+band of one row, its anchor. Two equal windows always meet there, and what meets is verified by the windows' own hashes.
+Consecutive windows with one anchor are a piece, and equal pieces are one class. Of a piece come the windows that repeat, cut where their least document changes: word by word the
 exact shared span, as no window outside repeats. Such rows have word_no (the first word) in place of unit_no, and pieces of a run overlap.
 
-A bucket's classes are distinct texts that share a minimal hash. They stream through one task, where a prefix filter, which
-is exact, picks the pairs to compare; what leaves is a spanning forest, never the pairs.
+Buckets: the classes of a bucket are distinct texts that share four minimal hashes. A bucket of more than BLOCK words is cut into blocks by the hash of
+the class, and each pair of blocks is a group of its own, so that a task holds two blocks and no link is lost; buckets with equal members
+are compared once. In a group a prefix filter, which is exact, picks the pairs to compare; what leaves is a spanning forest, never the pairs.
 
-Nulls: a null text has no units; rows with a null id are left out, as they cannot be told apart. Rows with one id are one document. A unit of fewer
-than LEAST words is not compared and does not break a run. Ties go to the least id. An empty table gives no rows.
+Nulls: a null text has no paragraphs; rows with a null id are left out, as they cannot be told apart. Rows with one id are one document. Ids are
+cast to long. Ties go to the least id. An empty table gives no rows. A very long text passes as one row through one task, and a paragraph is never cut. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import gc
 import math
-import re
-import zlib
 from collections import Counter, defaultdict
 from typing import Iterator
 
@@ -41,46 +38,27 @@ from viewtide.llm.components import components
 from viewtide.sources.staging import new_dir, remove, stage
 
 SHINGLE, THRESHOLD = 5, 0.8
-LEAST, LONG, RUN = 8, 64, 22
-#: Words that make a passage, wherever units end; words of a run that can be an anchor: a power of two, from half of PASSAGE down.
+#: Words that make a passage; words of a run that can be an anchor: a power of two, from half of PASSAGE down.
 PASSAGE, SEED = 50, 16
-RECALL = 0.99
-ENDS = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
+#: Chance that two paragraphs at the threshold meet, and rows of a band: with four, paragraphs at 0.3 meet with 7 %.
+RECALL, ROWS = 0.99, 4
+#: Words of the paragraphs that one block of a bucket holds.
+BLOCK = 1_000_000
 #: Fixed odd multipliers for the five words of a shingle and for the bands (from the digits of the golden ratio and of others).
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 256) -> tuple[int, int]:
-    """(bands, rows) with the fewest bands, then hashes, whose chance to meet at the threshold is at least recall."""
-    fits = [(b, r) for r in range(1, 9) for b in range(1, most) if 1 - (1 - threshold**r) ** b >= recall]
-    return min(fits, key=lambda x: (x[0], x[0] * x[1]))
+def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> tuple[int, int]:
+    """(bands, rows): the fewest bands whose chance to meet at the threshold is at least recall."""
+    n = 1
+    while 1 - (1 - threshold**rows) ** n < recall:
+        n += 1
+    return n, rows
 
 
-def units(text: str) -> list[list[bytes]]:
-    """Words of each unit that is long enough.
-
-    Sentences of LEAST words or more stand alone. Shorter ones in a row are put together, and cut after a sentence that the hash of its last word picks.
-    """
-    out: list[list[bytes]] = []
-    short: list[bytes] = []
-    for s in ENDS.split(text.encode("utf-8", "surrogatepass").translate(common.LOWER)):
-        words = s.split()
-        if words and len(words) < LEAST:
-            short += words
-            if len(short) < LEAST or zlib.crc32(words[-1]) & 3:
-                continue
-            words = []
-        if len(short) >= LEAST:
-            out.append(short)
-        if words or short:
-            short = []
-        while len(words) > LONG:
-            at = next((i + 1 for i in range(LEAST, len(words)) if not zlib.crc32(words[i]) & 15), len(words))
-            out.append(words[:at])
-            words = words[at:]
-        if len(words) >= LEAST:
-            out.append(words)
-    return [*out, short] if len(short) >= LEAST else out
+def paragraphs(text: str) -> Iterator[list[bytes]]:
+    """The words of each line with a word."""
+    return filter(None, map(bytes.split, text.encode("utf-8", "surrogatepass").translate(common.LOWER).split(b"\n")))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -89,15 +67,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def unit_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, unit_no, n_words, class (hash of the unit's words), shingles (their hashes, distinct, as bytes), staged."""
-    common.ready(docs.sparkSession)
+def _shingled(hashes: list[int], sizes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of paragraphs, end to end, and where each paragraph's begin; one of fewer words has its class."""
+    h = np.array(hashes, np.uint64)
+    whole = np.maximum(sizes - SHINGLE + 1, 1)
+    starts = np.cumsum(whole) - whole
+    at = np.arange(int(whole.sum())) + np.repeat(np.cumsum(sizes) - sizes - starts, whole)
+    padded = np.concatenate([h, np.zeros(SHINGLE, np.uint64)])
+    x = _mixed(sum(padded[at + i] * _MIX[i] for i in range(SHINGLE)))
+    short = sizes < SHINGLE
+    x[starts[short]] = classes[short]
+    return x, starts
+
+
+def paragraph_table(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
+    """doc_id, unit_no, n_words, class (hash of the paragraph's words), bands (a key for each, of the least hashes of its rows), staged."""
+    rng = np.random.default_rng(5)
+    odd = rng.integers(0, 1 << 63, (n_bands * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         common.drop()
-
         digest = xxhash.xxh64_intdigest
         for b in batches:
             known = _Hashes()
@@ -105,7 +96,7 @@ def unit_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                 part = b.slice(at, 1000)
                 ids, numbers, sizes, classes, hashes = [], [], [], [], []
                 for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for i, words in enumerate(units(t)):
+                    for i, words in enumerate(paragraphs(t)):
                         ids.append(doc)
                         numbers.append(i)
                         sizes.append(len(words))
@@ -113,66 +104,32 @@ def unit_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                         hashes.extend(map(known.__getitem__, words))
                 if not ids:
                     continue
-                h, n = np.array(hashes, np.uint64), np.array(sizes, np.int64)
-                sh = sum((h[i : len(h) - SHINGLE + 1 + i] * _MIX[i] for i in range(1, SHINGLE)), h[: len(h) - SHINGLE + 1] * _MIX[0])
-                sh = _mixed(sh)
-                ends = np.cumsum(n)
-                raw = [np.unique(sh[s : e - SHINGLE + 1]).tobytes() for s, e in zip((ends - n).tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n.astype(np.int32)), pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "unit_no", "n_words", "class", "shingles"])
-
-    d = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).dropna()
-    return stage(d.mapInArrow(run, "doc_id long, unit_no int, n_words int, class long, shingles binary"), "units")
-
-
-def band_rows(table: DataFrame, n_bands: int, rows: int) -> DataFrame:
-    """k (band and minimal hashes), class: one row for each band of each unit."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            classes, column = b.column(0), b.column(1)
-            offsets = np.frombuffer(column.buffers()[1], np.int32, b.num_rows + 1, column.offset * 4)
-            x = np.frombuffer(column.buffers()[2], np.uint64, offsets[-1] // 8)[offsets[0] // 8 :]
-            starts = (offsets[:-1] - offsets[0]) // 8
-            # a batch sends each class once, so that a unit that is everywhere is few rows
-            once, first = np.unique(classes.to_numpy(), return_index=True)
-            for i in range(n_bands):
-                k = np.full(b.num_rows, i + 1, np.uint64)
-                for j in range(rows):
-                    seed = np.uint64((i * rows + j + 1) * int(_MIX[0]) % (1 << 64))
-                    k = _mixed(k * _MIX[1] + np.minimum.reduceat(_mixed(x ^ seed), starts))
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)[first]), pa.array(once)], names=["k", "class"])
-
-    return table.select("class", "shingles").mapInArrow(run, "k long, class long")
-
-
-def shared(banded: DataFrame) -> DataFrame:
-    """Distinct (k, class) of the keys that two or more classes have."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def pick(k, c):
-            new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
-            k, c = k[new], c[new]
-            edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-            sizes = np.diff(edge)
-            many = np.repeat(sizes > 1, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(c[many])], names=["k", "class"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k, c = np.concatenate([held_k, b.column(0).to_numpy()]), np.concatenate([held_c, b.column(1).to_numpy()])
-            cut = int(np.searchsorted(k, k[-1]))
-            if cut:
-                yield pick(k[:cut], c[:cut])
-            # of the run that may go on, each class once
-            held_c = np.unique(c[cut:])
-            held_k = np.full(len(held_c), k[-1])
-        if len(held_k):
-            yield pick(held_k, held_c)
-
-    return banded.repartition("k").sortWithinPartitions("k", "class").mapInArrow(run, "k long, class long")
+                n, c = np.array(sizes, np.int64), np.array(classes, np.uint64)
+                x, starts = _shingled(hashes, n, c)
+                keys = np.empty((len(n), n_bands), np.uint64)
+                for i in range(n_bands):
+                    k = np.full(len(n), i + 1, np.uint64)
+                    for j in range(rows):
+                        a, m = odd[i * rows + j]
+                        k = _mixed(k * _MIX[1] + np.minimum.reduceat((x ^ a) * m, starts))
+                    keys[:, i] = k
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n.astype(np.int32)), pa.array(c.view(np.int64)), lists], names=["doc_id", "unit_no", "n_words", "class", "bands"])
+
+    return stage(docs.mapInArrow(run, "doc_id long, unit_no int, n_words int, class long, bands array<long>"), "units", "zstd")
+
+
+def meetings(table: DataFrame, block: int = BLOCK) -> DataFrame:
+    """g, class: the groups to compare. A group is a bucket of two classes or more, or a pair of blocks of a large one."""
+    rows = table.select("class", "n_words", F.explode("bands").alias("k")).repartition("k").distinct()
+    bucket = Window.partitionBy("k")
+    rows = rows.withColumns({"n": F.count("*").over(bucket), "words": F.sum("n_words").over(bucket), "x": F.bit_xor(F.xxhash64("class")).over(bucket), "y": F.bit_xor(F.xxhash64(F.lit(1), "class")).over(bucket)})
+    # buckets of the same classes are one; x and y tell sets of classes apart by 128 bits
+    rows = rows.filter("n > 1").groupBy("x", "y", "n", "class").agg(F.max("words").alias("words"))
+    blocks = F.ceil(F.col("words") / block).cast("int")
+    rows = rows.withColumn("m", blocks).withColumn("i", F.pmod(F.xxhash64(F.lit(2), "class"), F.col("m")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return rows.select(F.xxhash64("x", "y", "n", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "class")
 
 
 def similar(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -208,33 +165,69 @@ def similar(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[
     return out
 
 
-def tied(candidates: DataFrame, table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (a, b) of classes that meet in a band and are similar."""
-    classes = candidates.select("class").distinct()
-    sets = table.join(classes, "class", "left_semi").groupBy("class").agg(F.min("shingles").alias("shingles"))
+def shingle_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """class, shingles (distinct, as bytes): asked has doc_id and unit_no of one paragraph of each class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        common.drop()
+        for b in batches:
+            known = _Hashes()
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                sizes, classes, hashes = [], [], []
+                for t, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    wanted = set(wanted)
+                    for i, words in enumerate(paragraphs(t)):
+                        if i in wanted:
+                            sizes.append(len(words))
+                            classes.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                            hashes.extend(map(known.__getitem__, words))
+                if not sizes:
+                    continue
+                n, c = np.array(sizes, np.int64), np.array(classes, np.uint64)
+                x, starts = _shingled(hashes, n, c)
+                raw = [np.unique(s).tobytes() for s in np.split(x, starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(raw, pa.binary())], names=["class", "shingles"])
 
+    by_doc = asked.groupBy("doc_id").agg(F.collect_set("unit_no").alias("wanted"))
+    return docs.join(by_doc, "doc_id").select("text", "wanted").mapInArrow(run, "class long, shingles binary")
+
+
+def forests(rows: DataFrame, threshold: float) -> DataFrame:
+    """g, node, shingles -> edges (a, b) that join the same nodes as all pairs of a group at the threshold do. A task holds one group at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sets = None, [], []
+        now, names, sets = None, [], []
 
         def done():
             pairs = similar(sets, threshold)
             return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in pairs], pa.int64()), pa.array([names[j] for _, j in pairs], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for k, c, raw in zip(*(x.to_pylist() for x in b.columns)):
-                if k != key and names:
+            for g, c, raw in zip(*(x.to_pylist() for x in b.columns)):
+                if g != now and names:
                     yield done()
                     names, sets = [], []
-                key = k
-                names.append(c)
-                sets.append(np.frombuffer(raw, np.uint64))
+                now = g
+                if not names or names[-1] != c:
+                    names.append(c)
+                    sets.append(np.frombuffer(raw, np.uint64))
         if names:
             yield done()
 
-    rows = candidates.join(sets, "class").select("k", "class", "shingles").repartition("k").sortWithinPartitions("k")
+    rows = rows.select("g", "node", "shingles").repartition("g").sortWithinPartitions("g", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def tied(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of classes that meet in a band and are similar."""
+    met = stage(meetings(table, block), "meetings", "zstd")
+    first = table.groupBy("class").agg(F.min(F.struct("doc_id", "unit_no")).alias("m"))
+    asked = first.join(met.select("class").distinct(), "class").select("m.doc_id", "m.unit_no")
+    sets = shingle_sets(docs, asked).groupBy("class").agg(F.first("shingles").alias("shingles"))
+    return forests(met.join(sets, "class").withColumnRenamed("class", "node"), threshold)
+
+
 def _free(spark: SparkSession) -> None:
     """Has Spark delete the shuffles of plans that nothing holds any more."""
     gc.collect()
@@ -323,10 +316,9 @@ def pieces(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, at int, a long, class long, windows array<long>")
 
 
-def verbatim(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def verbatim(d: DataFrame) -> DataFrame:
     """doc_id, word_no, n_words, cluster_id, keeper, run_words, removed: all words in windows of PASSAGE words that two documents have, staged."""
-    spark = docs.sparkSession
-    common.ready(spark)
+    spark = d.sparkSession
     made: list[str] = []
 
     def held(df: DataFrame, name: str) -> DataFrame:
@@ -334,7 +326,6 @@ def verbatim(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         df.write.option("compression", "zstd").parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
 
-    d = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).dropna()
     found = held(anchors(d), "anchors")
     twice = found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a")
     picked = found.join(twice, "a").groupBy("doc_id").agg(F.collect_list("a").alias("picked"))
@@ -364,27 +355,28 @@ def verbatim(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return out
 
 
-def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, unit_no, n_words, cluster_id, keeper (the cluster's least document), run_words, removed: units of passages that repeat across documents; and the rows of verbatim(), where unit_no is null (elsewhere word_no is)."""
-    exact = verbatim(docs, text, key)
-    table = unit_table(docs, text, key)
-    candidates = stage(shared(band_rows(table, *bands(threshold))), "candidates")
-    _free(docs.sparkSession)
-    labels = components(tied(candidates, table, threshold), "passages").withColumnRenamed("node", "class")
+def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = PASSAGE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """doc_id, unit_no (its place among the paragraphs, from 0), n_words, cluster_id, keeper (the cluster's least document), run_words, removed: paragraphs that repeat across documents, in runs of least words or more;
+    and the rows of verbatim(), where unit_no is null (elsewhere word_no is)."""
+    common.ready(docs.sparkSession)
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).dropna()
+    exact = verbatim(docs)
+    table = paragraph_table(docs, *bands(threshold))
+    labels = components(tied(docs, table, threshold, block), "passages").withColumnRenamed("node", "class")
     _free(docs.sparkSession)
     spans = table.groupBy("class").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).join(labels, "class", "left")
     spans = spans.filter((F.col("lo") < F.col("hi")) | F.col("component").isNotNull()).withColumn("cluster_id", F.coalesce("component", "class"))
     spans = stage(spans.select("class", "cluster_id", "lo", "hi"), "spans")
     clusters = spans.groupBy("cluster_id").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).filter("keeper < last").drop("last")
-    marked = table.drop("shingles").join(spans.select("class", "cluster_id").join(clusters, "cluster_id"), "class").drop("class")
+    marked = table.drop("bands").distinct().join(spans.select("class", "cluster_id").join(clusters, "cluster_id"), "class").drop("class")
     w = Window.partitionBy("doc_id").orderBy("unit_no")
     broken = F.coalesce((F.col("unit_no") - F.lag("unit_no").over(w) > 1).cast("int"), F.lit(1))
     runs = marked.withColumn("new", broken).withColumn("run", F.sum("new").over(w))
     runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    runs = runs.filter(F.col("run_words") >= run_words).select("doc_id", "unit_no", "n_words", "cluster_id", "keeper", "run_words", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    runs = runs.filter(F.col("run_words") >= least).select("doc_id", "unit_no", "n_words", "cluster_id", "keeper", "run_words", (F.col("doc_id") != F.col("keeper")).alias("removed"))
     return runs.unionByName(exact, allowMissingColumns=True)
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each unit and each piece of a repeated passage, with its document, cluster, and whether it is to go."""
+    """One row for each paragraph and each piece of a repeated passage, with its document, cluster, and whether it is to go."""
     return repeated(common.plain(common.read(spark, sf_dir, "documents"), "doc_id", "text"))
