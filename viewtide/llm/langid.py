@@ -1,17 +1,20 @@
 """Language identification by hyperdimensional profiles (operator 8).
 
 Each letter has a random vector of +1 and -1, drawn from its code point. A trigram is bound from its
-letters' vectors, the first rotated twice and the second once, by elementwise product; a text is the bundle
+letters' vectors, the first rotated twice and the second once, by elementwise product (an exclusive or of bits, a one being -1); a text is the bundle
 (the sum) of its trigrams' vectors, and a language the bundle of its texts'. A text gets the language whose prototype
 has the highest cosine with it.
 
 Runs of characters that are no letters count as one space; letters are lower-cased. Whole texts are read, in learning and in
 predicting. Learning sums vectors inside tasks and then by language, so that what is shuffled is one vector for each task
-and language. Prototypes reach the executors as a block of (languages x dimensions) numbers; labels that would make more than
-MAX_LANGUAGES of them are an error, as such a column holds no languages.
+and language. Prototypes reach the executors as blocks of BLOCK languages, 4 KB for each language.
+
+Very long texts: a text is read in stretches of CHUNK characters, and trigram vectors are made for BLOCK distinct trigrams at a time and not kept, so
+that memory does not grow with a text or its alphabet.
 
 Nulls: a null text, or one without letters, is und with score 0; rows with a null label are not learned from; null ids
-hash like the empty text. Ties go to the label that sorts first. Nothing learned: every row is und. An empty table gives no rows.
+hash like the empty text. Ties go to the label that sorts first. Nothing learned: every row is und. Repeated rows get equal rows. An empty table gives no
+rows. Other columns stay as they are; the result's name is lengthened where docs has it.
 """
 
 from __future__ import annotations
@@ -21,49 +24,47 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viewtide.llm import common
+from viewtide.sources.staging import stage
 
 DIMENSIONS = 1024
-MAX_LANGUAGES = 4096
 UNKNOWN = "und"
 SPACE = 32
-#: Trigram vectors that a worker remembers before it starts anew.
-REMEMBER = 20_000
-#: Characters that one pass over a batch of texts holds.
+#: Distinct trigrams whose vectors exist at a time; languages in a block of prototypes.
+BLOCK = 4096
+#: Characters that one pass over texts holds.
 CHUNK = 400_000
 
 
-def letter_vector(code: int, dimensions: int) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(key=[code, 8])).integers(0, 2, dimensions, dtype=np.int8) * 2 - 1
-
+def letter_bits(codes: np.ndarray, dimensions: int) -> np.ndarray:
+    """The vectors of letters as bits (codes x dimensions), from a mix of code point and word number."""
+    words = np.arange(dimensions // 64, dtype=np.uint64)
+    x = codes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (words + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return np.unpackbits(x.view(np.uint8).reshape(len(codes), -1), axis=1)
 
-class Profiles:
-    """Vectors of trigrams and texts."""
 
-    @classmethod
-    def of(cls, dimensions: int) -> "Profiles":
-        return common.kept(("profiles", dimensions), lambda: cls(dimensions))
+def trigram_bits(codes: np.ndarray, dimensions: int) -> np.ndarray:
+    """The vectors of trigrams as bits; a code holds three letters of 21 bits."""
+    mask = (1 << 21) - 1
+    letters, number = np.unique(np.concatenate([codes >> 42, codes >> 21 & mask, codes & mask]), return_inverse=True)
+    plain = letter_bits(letters, dimensions)
+    a, b, c = np.split(number, 3)
+    return np.roll(plain, 2, axis=1)[a] ^ np.roll(plain, 1, axis=1)[b] ^ plain[c]
 
-    def __init__(self, dimensions: int):
-        self.dimensions = dimensions
-        self.letters: dict[int, np.ndarray] = {}
-        self.table = np.zeros(0x110000, np.int32)  # character -> lower-case letter, 32 for others, 0 for not met yet
-        self._forget()
 
-    def _forget(self) -> None:
-        self.codes = np.zeros(0, np.int64)
-        self.places = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, self.dimensions), np.int8)
+class Reader:
+    """Texts as trigram codes."""
 
-    def letter(self, code: int) -> np.ndarray:
-        if code not in self.letters:
-            self.letters[code] = letter_vector(code, self.dimensions)
-        return self.letters[code]
+    def __init__(self):
+        self.table = np.zeros(0x110000, np.int32)  # character -> lower-case letter, 32 for others, 0 for not met yet
 
-    def _fold(self, chars: np.ndarray) -> np.ndarray:
+    def fold(self, chars: np.ndarray) -> np.ndarray:
         out = self.table[chars]
         if (out == 0).any():
             for c in np.unique(chars[out == 0]).tolist():
@@ -73,14 +74,13 @@ class Profiles:
         return out
 
     def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Trigram codes of all texts, end to end; where each text's begin; whether a text has a letter. Texts stand between spaces."""
+        """Trigram codes of all texts, end to end; the text of each; whether a text has a letter. Texts stand between spaces."""
         chars = np.frombuffer(" \n ".join(texts).join(("  ", "  ")).encode("utf-32-le", "surrogatepass"), "<u4")
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         text = np.full(len(chars), -1, np.int64)
-        begin = 2 + np.cumsum(sizes + 3) - sizes - 3
         # a text's letters, with the character before and after it, which are spaces
         text[1:-1] = np.repeat(np.arange(len(texts)), sizes + 3)[: len(chars) - 2] if len(texts) else 0
-        folded = self._fold(chars)
+        folded = self.fold(chars)
         keep = np.concatenate(([True], (folded[1:] != SPACE) | (folded[:-1] != SPACE)))
         # keep one space at each text's edge: runs across a border are cut by the owner changing
         keep |= np.concatenate(([True], text[1:] != text[:-1]))
@@ -88,43 +88,51 @@ class Profiles:
         letters = np.bincount(text[(folded != SPACE) & (text >= 0)], minlength=len(texts)) > 0
         code = (folded[:-2] << 42) | (folded[1:-1] << 21) | folded[2:]
         whole = (text[:-2] == text[2:]) & (text[:-2] >= 0)
-        code, owner = code[whole], text[:-2][whole]
-        return code, np.searchsorted(owner, np.arange(len(texts) + 1)), letters
-
-    def vectors_of(self, codes: np.ndarray) -> np.ndarray:
-        """Row numbers in vectors of distinct codes, learning new ones."""
-        at = np.searchsorted(self.codes, codes)
-        there = np.take(self.codes, at, mode="clip") == codes if len(self.codes) else np.zeros(len(codes), bool)
-        if not there.all():
-            new = codes[~there]
-            if len(self.codes) + len(new) > REMEMBER:
-                self._forget()
-                new = codes
-            mask = (1 << 21) - 1
-            rows = np.empty((len(new), self.dimensions), np.int8)
-            for i, (a, b, c) in enumerate(zip((new >> 42).tolist(), (new >> 21 & mask).tolist(), (new & mask).tolist())):
-                rows[i] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
-            every = np.concatenate([self.codes, new])
-            places = np.concatenate([self.places, len(self.vectors) + np.arange(len(new))])
-            order = np.argsort(every)
-            self.vectors = np.concatenate([self.vectors, rows])
-            self.codes, self.places = every[order], places[order]
-            at = np.searchsorted(self.codes, codes)
-        return self.places[at]
-
-    def bundles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A vector for each text, and whether it has a letter."""
-        code, edges, letters = self.trigrams(texts)
-        out = np.zeros((len(texts), self.dimensions), np.float32)
-        if not len(code):
-            return out, letters
-        distinct, number = np.unique(code, return_inverse=True)
-        rows = self.vectors_of(distinct)
-        for i in np.flatnonzero(letters).tolist():
-            counts = np.bincount(number[edges[i] : edges[i + 1]], minlength=0)
-            some = np.flatnonzero(counts)
-            out[i] = counts[some].astype(np.float32) @ self.vectors[rows[some]].astype(np.float32)
-        return out, letters
+        return code[whole], text[:-2][whole], letters
+
+    def stretches(self, text: str) -> Iterator[np.ndarray]:
+        """The same codes of one long text, stretch by stretch: the last two letters go on into the next."""
+        before = np.array([SPACE], np.int64)
+        for at in range(0, len(text) + 1, CHUNK):
+            part = text[at : at + CHUNK] + (" " if at + CHUNK > len(text) else "")
+            if not part:
+                continue
+            folded = np.concatenate([before, self.fold(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4"))]).astype(np.int64)
+            folded = folded[np.concatenate(([True], (folded[1:] != SPACE) | (folded[:-1] != SPACE)))]
+            yield (folded[:-2] << 42) | (folded[1:-1] << 21) | folded[2:]
+            before = folded[-2:]
+
+
+def bundle(code: np.ndarray, owner: np.ndarray, n: int, dimensions: int) -> np.ndarray:
+    """The sums of n texts' trigram vectors, a block of distinct trigrams at a time."""
+    out = np.zeros((n, dimensions))
+    distinct, number = np.unique(code, return_inverse=True)
+    for at in range(0, len(distinct), BLOCK):
+        here = (number >= at) & (number < at + BLOCK)
+        width = min(BLOCK, len(distinct) - at)
+        counts = np.bincount(owner[here] * width + number[here] - at, minlength=n * width).reshape(n, width).astype(np.float32)
+        bits = trigram_bits(distinct[at : at + width], dimensions).astype(np.float32)
+        out += counts.sum(axis=1, dtype=np.float64)[:, None] - 2.0 * (counts @ bits)
+    return out
+
+
+def bundles(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A vector for each text, its number of trigrams, and whether it has a letter."""
+    reader = common.kept("letters", Reader)
+    out, n, letters = np.zeros((len(texts), dimensions)), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+    for part in chunks(texts):
+        some = texts[part]
+        if len(some) == 1 and len(some[0]) > CHUNK:
+            for code in reader.stretches(some[0]):
+                out[part] += bundle(code, np.zeros(len(code), np.int64), 1, dimensions)
+                n[part] += len(code)
+                letters[part] |= bool((code & ((1 << 21) - 1) != SPACE).any())
+            continue
+        code, owner, letters[part] = reader.trigrams(some)
+        out[part] = bundle(code, owner, len(some), dimensions)
+        n[part] = np.bincount(owner, minlength=len(some))
+    n[~letters] = 0
+    return out, n, letters
 
 
 def chunks(texts: list[str]) -> Iterator[slice]:
@@ -147,48 +155,53 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in chunks(texts):
-                vectors, _ = Profiles.of(dimensions).bundles(texts[part])
-                for v, name in zip(vectors, langs[part]):
-                    sums[name] = sums.get(name, 0) + v.astype(np.float64)
+            names, at = np.unique(langs, return_inverse=True)
+            vectors, _, _ = bundles(texts, dimensions)
+            for i, name in enumerate(names.tolist()):
+                sums[name] = sums.get(name, 0) + vectors[at == i].sum(axis=0)
+            if len(sums) > BLOCK:
+                yield pack(sums)
+                sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "vector"])
+            yield pack(sums)
+
+    def pack(sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "vector"])
 
     rows = docs.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     sums = rows.mapInArrow(run, "lang string, vector array<double>").select("lang", F.posexplode("vector")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
     lists = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("v")).select("lang", "v.v")
-    found = sorted(lists.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    table = np.array([r["v"] for r in found], np.float64).reshape(len(found), dimensions)
+    found = sorted(((r["lang"], np.array(r["v"], np.float32)) for r in lists.toLocalIterator()), key=lambda r: r[0])  # a row for each language
+    table = np.array([v for _, v in found], np.float64).reshape(len(found), dimensions)
     norms = np.linalg.norm(table, axis=1, keepdims=True)
-    return [r["lang"] for r in found], np.divide(table, norms, out=np.zeros_like(table), where=norms > 0)
+    return [name for name, _ in found], np.divide(table, norms, out=np.zeros_like(table), where=norms > 0)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with a struct column langid of lang_pred and score (the cosine, 0 at least). The struct's name is lengthened where docs has it."""
+    """docs with a struct column langid of lang_pred, score (the cosine, 0 at least) and n_trigrams. The struct's name is lengthened where docs has it."""
     common.ready(docs.sparkSession)
     names, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table.T.astype(np.float32))  # MAX_LANGUAGES columns at most
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(np.ascontiguousarray(table[i : i + BLOCK].T)) for i in range(0, len(names), BLOCK)]  # languages x dimensions
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
         for series in batches:
             texts = [t if isinstance(t, str) else "" for t in series.tolist()]
-            labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for part in chunks(texts):
-                vectors, letters = Profiles.of(weights.shape[0]).bundles(texts[part])
-                if not names:
-                    continue
-                norms = np.linalg.norm(vectors, axis=1)
-                cosines = np.divide(vectors @ weights, norms[:, None], out=np.zeros((len(vectors), len(names)), np.float32), where=norms[:, None] > 0)
-                best = cosines.argmax(axis=1)
-                for i in np.flatnonzero(letters).tolist():
-                    labels[part.start + i] = names[best[i]]
-                    scores[part.start + i] = min(1.0, max(0.0, float(cosines[i, best[i]])))
-            yield pd.DataFrame({"lang_pred": labels, "score": scores})
-
-    udf = F.pandas_udf(run, "lang_pred string, score double")
+            vectors, n, letters = bundles(texts, table_dimensions)
+            best, at = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
+            norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
+            for i, block in enumerate(blocks):
+                cosines = vectors @ block.value / norms
+                top = cosines.argmax(axis=1)
+                value = cosines[np.arange(len(texts)), top]
+                more = value > best
+                best, at = np.where(more, value, best), np.where(more, top + i * BLOCK, at)
+            known = letters & bool(names)
+            labels = [names[j] if k else UNKNOWN for j, k in zip(at.tolist(), known.tolist())]
+            yield pd.DataFrame({"lang_pred": labels, "score": np.where(known, np.clip(best, 0.0, 1.0), 0.0), "n_trigrams": n})
+
+    table_dimensions = table.shape[1]
+    udf = F.pandas_udf(run, "lang_pred string, score double, n_trigrams long")
     return docs.withColumn(common.fresh(docs, "langid"), udf(F.col(f"`{text}`")))
 
 
@@ -197,14 +210,37 @@ def held_out(key: str = "doc_id", parts: int = 3, rest: int = 1):
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == rest
 
 
-def reject(docs: DataFrame, least: float = 0.0, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """docs without those that have no letter, or whose cosine with every learned language is below least. Very short texts have low cosines, so that 0 is the default."""
+#: A text is in no learned language below this share of the score that nine tenths of its language's texts of its length reach; so many documents of score 0 are added to
+#: those, so that few make no fence. Texts in other languages or of random letters stay far below a third of it, and texts of one repeated word above.
+SHARE, NONE = 0.2, 5
+
+
+def fences(seen: DataFrame) -> DataFrame:
+    """lang_pred, size, score of known documents -> lang_pred, size, fence. size is the bit length of the number of trigrams, as scores rise
+    with length. Scores are counted in thousandths: a row for each language, size and thousandth."""
+    cells = seen.groupBy("lang_pred", "size", F.floor(F.col("score") * 1000).alias("v")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("lang_pred", "size")
+    run = cells.withColumns({"below": F.sum("n").over(w.orderBy("v")) + NONE, "total": F.sum("n").over(w) + NONE})
+    low = F.when(F.max("total") <= NONE * 10, 0).otherwise(F.min(F.when(F.col("below") * 10 >= F.col("total"), F.col("v"))))
+    return run.groupBy("lang_pred", "size").agg((low * SHARE / 1000).alias("fence"))
+
+
+def reject(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """docs without those in no language that was learned: without a letter, or with a score below the fence of their language and length.
+
+    Fences come from the rows that were learned from and whose label the model gives back. Where nothing was learned, rows with a letter stay.
+    """
     name = common.fresh(docs, "langid")
     model = learn(docs.filter(~held_out(key)), text, lang)
-    if not model[0]:  # no language to resemble: only rows without a letter go
+    if not model[0]:
         return docs.filter(F.col(f"`{text}`").rlike(r"\p{L}"))
-    found = predict(docs, model, text)
-    return found.filter((F.col(f"`{name}`.lang_pred") != UNKNOWN) & (F.col(f"`{name}`.score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+    size = F.length(F.bin(F.col(f"`{name}`.n_trigrams")))
+    found = stage(predict(docs, model, text).withColumn(name, F.struct(F.col(f"`{name}`.lang_pred"), F.col(f"`{name}`.score"), size.alias("size"))), "languages")
+    seen = found.filter(~held_out(key) & (F.col(f"`{lang}`") == F.col(f"`{name}`.lang_pred"))).select(f"`{name}`.*")
+    mine, fence = F.col(f"`{name}`"), fences(seen).select(F.struct("lang_pred", "size", "fence").alias(common.fresh(found, "fence")))
+    f = F.col(f"`{fence.columns[0]}`")
+    out = found.join(fence, (mine["lang_pred"] == f["lang_pred"]) & (mine["size"] == f["size"]), "left")
+    return out.filter((mine["lang_pred"] != UNKNOWN) & (mine["score"] >= F.coalesce(f["fence"], F.lit(0.0)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
