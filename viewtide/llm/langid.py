@@ -212,7 +212,7 @@ def held_out(key: str = "doc_id", parts: int = 3, rest: int = 1):
 
 #: A text is in no learned language below this share of the score that nine tenths of its language's texts of its length reach; so many documents of score 0 are added to
 #: those, so that few make no fence. Texts in other languages or of random letters stay far below a third of it, and texts of one repeated word above.
-SHARE, NONE = 0.2, 5
+SHARE, NONE = 0.2, 2
 
 
 def fences(seen: DataFrame) -> DataFrame:

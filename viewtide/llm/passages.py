@@ -24,8 +24,6 @@ columns, whatever their names, are not read.
 from __future__ import annotations
 
 import gc
-import math
-from collections import Counter, defaultdict
 from typing import Iterator
 
 import numpy as np
@@ -35,15 +33,14 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import common
 from viewtide.llm.components import components
+from viewtide.llm.pairs import BLOCK, THRESHOLD, blocked, forests
 from viewtide.sources.staging import new_dir, remove, stage
 
-SHINGLE, THRESHOLD = 5, 0.8
+SHINGLE = 5
 #: Words that make a passage; words of a run that can be an anchor: a power of two, from half of PASSAGE down.
 PASSAGE, SEED = 50, 16
 #: Chance that two paragraphs at the threshold meet, and rows of a band: with four, paragraphs at 0.3 meet with 7 %.
 RECALL, ROWS = 0.99, 4
-#: Words of the paragraphs that one block of a bucket holds.
-BLOCK = 1_000_000
 #: Fixed odd multipliers for the five words of a shingle and for the bands (from the digits of the golden ratio and of others).
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -120,49 +117,13 @@ def paragraph_table(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
 
 
 def meetings(table: DataFrame, block: int = BLOCK) -> DataFrame:
-    """g, class: the groups to compare. A group is a bucket of two classes or more, or a pair of blocks of a large one."""
+    """g, node (a class): the groups to compare. A group is a bucket of two classes or more, or a pair of blocks of a large one."""
     rows = table.select("class", "n_words", F.explode("bands").alias("k")).repartition("k").distinct()
     bucket = Window.partitionBy("k")
     rows = rows.withColumns({"n": F.count("*").over(bucket), "words": F.sum("n_words").over(bucket), "x": F.bit_xor(F.xxhash64("class")).over(bucket), "y": F.bit_xor(F.xxhash64(F.lit(1), "class")).over(bucket)})
     # buckets of the same classes are one; x and y tell sets of classes apart by 128 bits
     rows = rows.filter("n > 1").groupBy("x", "y", "n", "class").agg(F.max("words").alias("words"))
-    blocks = F.ceil(F.col("words") / block).cast("int")
-    rows = rows.withColumn("m", blocks).withColumn("i", F.pmod(F.xxhash64(F.lit(2), "class"), F.col("m")))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    return rows.select(F.xxhash64("x", "y", "n", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "class")
-
-
-def similar(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets with Jaccard similarity of at least the threshold.
-
-    Elements are ordered from the rarest in the bucket; two such sets share an element of their prefixes.
-    """
-    counts = Counter(x for s in sets for x in s.tolist())
-    ordered = [sorted(s.tolist(), key=lambda x: (counts[x], x)) for s in sets]
-    whole = [set(s) for s in ordered]
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    out, index = [], defaultdict(list)
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        n = len(ordered[i])
-        prefix = ordered[i][: n - math.ceil(threshold * n) + 1]
-        tried: set[int] = set()
-        for x in prefix:
-            for j in index[x]:
-                if j not in tried and root(i) != root(j) and len(whole[j]) >= threshold * n:
-                    both = len(whole[i] & whole[j])
-                    if both >= threshold * (n + len(whole[j]) - both):
-                        parent[root(i)] = root(j)
-                        out.append((i, j))
-                tried.add(j)
-        for x in prefix:
-            index[x].append(i)
-    return out
+    return blocked(rows, ["x", "y", "n"], "class", F.col("words"), block)
 
 
 def shingle_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -194,38 +155,13 @@ def shingle_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return docs.join(by_doc, "doc_id").select("text", "wanted").mapInArrow(run, "class long, shingles binary")
 
 
-def forests(rows: DataFrame, threshold: float) -> DataFrame:
-    """g, node, shingles -> edges (a, b) that join the same nodes as all pairs of a group at the threshold do. A task holds one group at a time."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, sets = None, [], []
-
-        def done():
-            pairs = similar(sets, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in pairs], pa.int64()), pa.array([names[j] for _, j in pairs], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            for g, c, raw in zip(*(x.to_pylist() for x in b.columns)):
-                if g != now and names:
-                    yield done()
-                    names, sets = [], []
-                now = g
-                if not names or names[-1] != c:
-                    names.append(c)
-                    sets.append(np.frombuffer(raw, np.uint64))
-        if names:
-            yield done()
-
-    rows = rows.select("g", "node", "shingles").repartition("g").sortWithinPartitions("g", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
 def tied(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) of classes that meet in a band and are similar."""
     met = stage(meetings(table, block), "meetings", "zstd")
     first = table.groupBy("class").agg(F.min(F.struct("doc_id", "unit_no")).alias("m"))
-    asked = first.join(met.select("class").distinct(), "class").select("m.doc_id", "m.unit_no")
-    sets = shingle_sets(docs, asked).groupBy("class").agg(F.first("shingles").alias("shingles"))
-    return forests(met.join(sets, "class").withColumnRenamed("class", "node"), threshold)
+    asked = first.join(met.select(F.col("node").alias("class")).distinct(), "class").select("m.doc_id", "m.unit_no")
+    sets = shingle_sets(docs, asked).groupBy(F.col("class").alias("node")).agg(F.first("shingles").alias("shingles"))
+    return forests(met.join(sets, "node"), threshold)
 
 
 def _free(spark: SparkSession) -> None:

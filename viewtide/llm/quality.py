@@ -6,7 +6,7 @@ are kept as mergeable quantile sketches per language and source: counts over log
 1/64 above, have a bounded number of buckets, and merge by adding counts. The sketches are staged once; those of a language and of the
 whole corpus are merged from them.
 
-A group's distribution is its own sketch, with its language's and the corpus's mixed in at the weight of PRIOR documents each: a small group leans on
+A group's distribution is its own sketch, with its language's and the corpus's mixed in at the weight of LANGUAGE and CORPUS documents: a small group leans on
 them, a large one on itself, and no size switches. From it come the median and the upper decile, and the group's fence is the decile plus TAIL times its
 distance from the median. A document goes when its count is more than CHANCE deviations (and CHANCE events) beyond what the fence's rate gives over its
 units: so the spread of the group decides, and a short text is not judged on a few events.
@@ -31,7 +31,7 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 #: The upper quantile in tenths, how many times its distance from the median the fence lies beyond it, and deviations that are chance.
 UPPER, TAIL, CHANCE = 9, 12, 8
 #: Documents' worth of its language, and of the corpus, in each group's distribution.
-PRIOR = 300
+LANGUAGE, CORPUS = 300, 30
 #: Rules: the count and its units.
 RULES = {"symbols": ("n_symbols", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "capitals": ("n_capitals", "word_chars"), "word_length": ("word_chars", "n_words")}
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -102,7 +102,7 @@ def thresholds(values: DataFrame) -> DataFrame:
     own = stage(sketch(values, ["kl", "ks"], list(RULES)), "sketch")
     lang = running(merge(own, ["kl"]), ["kl"])
     corpus = running(merge(own, []), []).select("metric", "bucket", F.col("below").alias("bc"), F.col("total").alias("nc"))
-    share = F.lit(PRIOR) * F.col("below") / F.col("total") + F.lit(PRIOR) * F.col("bc") / F.col("nc")
+    share = F.lit(LANGUAGE) * F.col("below") / F.col("total") + F.lit(CORPUS) * F.col("bc") / F.col("nc")
     prior = lang.join(corpus, ["metric", "bucket"]).select("kl", "metric", "bucket", "below", "total", share.alias("share"))
     # a group's quantile is one of its own buckets or of its language's quantiles: those are all in the language's sketch
     marks = [F.min(F.when(F.col("below") * 10 >= F.col("total") * k, F.col("bucket"))) for k in (5, UPPER)]
@@ -110,7 +110,7 @@ def thresholds(values: DataFrame) -> DataFrame:
     marks = own.select("kl", "ks", "metric").distinct().join(marks, ["kl", "metric"]).select("kl", "ks", "metric", "bucket", F.lit(0).cast("long").alias("n"))
     every = running(own.select("kl", "ks", "metric", "bucket", "n").unionByName(marks).groupBy("kl", "ks", "metric", "bucket").agg(F.sum("n").alias("n")), ["kl", "ks"])
     every = every.join(prior.select("kl", "metric", "bucket", "share"), ["kl", "metric", "bucket"])
-    reach = lambda k: F.coalesce(F.min(F.when((F.col("below") + F.col("share")) * 10 >= (F.col("total") + 2 * PRIOR) * k, F.col("bucket"))), F.max("bucket"))
+    reach = lambda k: F.coalesce(F.min(F.when((F.col("below") + F.col("share")) * 10 >= (F.col("total") + LANGUAGE + CORPUS) * k, F.col("bucket"))), F.max("bucket"))
     t = every.groupBy("kl", "ks", "metric").agg(reach(5).alias("mid"), reach(UPPER).alias("top"))
     t = t.withColumn("fence", F.col("top") + TAIL * (F.col("top") - F.col("mid")))
     return t.groupBy("kl", "ks").agg(*(F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"max_{m}") for m in RULES))
@@ -150,7 +150,7 @@ def _running(name: str, groups: str, source: str) -> str:
 
 
 def _reach(k: int) -> str:
-    return f"coalesce(min(bucket) FILTER ((below + share) * 10 >= (total + {2 * PRIOR}) * {k}), max(bucket))"
+    return f"coalesce(min(bucket) FILTER ((below + share) * 10 >= (total + {LANGUAGE + CORPUS}) * {k}), max(bucket))"
 
 
 def _within(m: str) -> str:
@@ -176,7 +176,7 @@ sk AS (SELECT kl, ks, metric, ((v >> sh) << sh) AS bucket, count(*) AS n FROM
   (SELECT kl, ks, metric, v, greatest(length(bin(v)) - 7, 0)::INTEGER AS sh FROM
     (SELECT kl, ks, unnest([{', '.join(repr(m) for m in RULES)}]) AS metric, unnest([{', '.join(RULES)}]) AS v FROM v WHERE NOT base_failed)) GROUP BY ALL),
 {_running('l', 'kl', 'sk')}, {_running('c', '', 'sk')},
-prior AS (SELECT l.*, {PRIOR} * l.below::DOUBLE / l.total::DOUBLE + {PRIOR} * c.below::DOUBLE / c.total::DOUBLE AS share FROM l JOIN c ON l.metric = c.metric AND l.bucket = c.bucket),
+prior AS (SELECT l.*, {LANGUAGE} * l.below::DOUBLE / l.total::DOUBLE + {CORPUS} * c.below::DOUBLE / c.total::DOUBLE AS share FROM l JOIN c ON l.metric = c.metric AND l.bucket = c.bucket),
 marks AS (SELECT kl, metric, unnest([min(bucket) FILTER (below * 10 >= total * 5), min(bucket) FILTER (below * 10 >= total * {UPPER})]) AS bucket FROM prior GROUP BY kl, metric),
 own AS (SELECT kl, ks, metric, bucket, n FROM sk UNION ALL SELECT x.kl, x.ks, x.metric, marks.bucket, 0 FROM (SELECT DISTINCT kl, ks, metric FROM sk) x JOIN marks ON x.kl = marks.kl AND x.metric = marks.metric),
 {_running('every', 'kl, ks', 'own')},

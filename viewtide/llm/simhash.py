@@ -9,14 +9,16 @@ with 0 with those with 1, so that a pair meets once per segment. Comparing is ar
 leaves a task is a spanning forest of the links found, never the pairs of a bucket. Components come from
 large and small stars, and equal fingerprints are collapsed before all this.
 
-A bucket's members pass through one task. They are distinct fingerprints with an equal segment, 8 or 16
-bytes each; blocks of them are compared, so time and not memory grows with a bucket.
+A bucket's members are distinct fingerprints with an equal segment, 8 or 16 bytes each. A bucket of more than BIG of them is not compared in its
+task: its members go on to a second step, where they are cut into blocks by their hash and each pair of blocks is a group of its own.
 
 keep_one() does not trust bits: MinHash bands of the distinct shingles join what SimHash links may miss, the components of both are
-candidates only, and in each the sets of distinct shingles are compared exactly. Only pairs at the scheme's similarity are links there.
+candidates only, and in each the sets of distinct shingles are compared exactly, a large component in pairs of blocks. Only pairs at the scheme's
+similarity are links there.
 
 Nulls: a null text has no words and the fingerprint zero, which links like any other. A null id is never the smallest id of a component unless
-it has no other. Repeated rows have equal rows in the result. An empty table gives no rows.
+it has no other. Repeated rows have equal rows in the result; keep_one() keeps one of them. Ties go to the least id, then to the least hash of the text. An empty
+table gives no rows. A very long text passes as one row through one task, which holds its shingles' hashes. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import common
 from viewtide.llm.components import components
+from viewtide.llm.pairs import blocked, forests
 from viewtide.sources.staging import stage
 
 BLOCK = 2048
 #: Buckets of so many members at most are compared by shifts of the sorted array, larger ones by blocks.
 SMALL = 32
+#: Members of a bucket that one task compares.
+BIG = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -226,39 +231,65 @@ def link(distinct: DataFrame, scheme: Scheme) -> DataFrame:
                 parts = [pa.array((keys << np.uint64(2) | bit.astype(np.uint64)).view(np.int64)), pa.array(lo)]
                 yield pa.RecordBatch.from_arrays([parts[0], pa.array(hi), parts[1]] if wide else parts, names=["k", "hi", "lo"] if wide else ["k", "lo"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    fields = ["a_hi", "a_lo", "b_hi", "b_lo", "k"]
 
-        def flush(cols):
-            k, hi, lo = (np.concatenate(c) for c in zip(*cols))
-            a, b = links(k >> 2, (k & 3).astype(np.int8), hi.view(np.uint64), lo.view(np.uint64), scheme.distance)
-            # a fingerprint stands in many buckets: one forest over all of them, to the least fingerprint
-            ends = np.concatenate([a, b])
-            nodes, at = np.unique(np.stack([hi[ends], lo[ends]], axis=1), axis=0, return_inverse=True)
-            a, b = _thin(at.ravel()[: len(a)], at.ravel()[len(a) :])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[a, 0], nodes[a, 1], nodes[b, 0], nodes[b, 1])], names=["a_hi", "a_lo", "b_hi", "b_lo"])
+    def rows_of(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) if x is not None else pa.nulls(len(columns[0]), pa.int64()) for x in columns], names=fields)
 
+    def flush(k, hi, lo) -> pa.RecordBatch:
+        a, b = links(k >> 2, (k & 3).astype(np.int8), hi.view(np.uint64), lo.view(np.uint64), scheme.distance)
+        # a fingerprint stands in many buckets: one forest over all of them, to the least fingerprint
+        ends = np.concatenate([a, b])
+        nodes, at = np.unique(np.stack([hi[ends], lo[ends]], axis=1), axis=0, return_inverse=True)
+        a, b = _thin(at.ravel()[: len(a)], at.ravel()[len(a) :])
+        return rows_of(nodes[a, 0], nodes[a, 1], nodes[b, 0], nodes[b, 1], None)
+
+    def compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+        """Links of runs of one key, which may go on from batch to batch; the members of a run of more than most as they are, with k."""
+        held, size, big = [], 0, None
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
             k, lo = cols[0], cols[-1]
             hi = cols[1] if wide else np.zeros(len(k), np.int64)
             if not len(k):
                 continue
-            # the last run may go on in the next batch
+            if big is not None:  # the run that is too large goes on
+                cut = int(np.searchsorted(k >> 2, big, side="right"))
+                if cut:
+                    yield rows_of(hi[:cut], lo[:cut], None, None, k[:cut])
+                k, hi, lo = k[cut:], hi[cut:], lo[cut:]
+                if not len(k):
+                    continue
+                big = None
             cut = int(np.searchsorted(k >> 2, k[-1] >> 2))
             if cut:
-                yield flush([*held, (k[:cut], hi[:cut], lo[:cut])])
-                held = []
+                yield flush(*(np.concatenate(c) for c in zip(*held, (k[:cut], hi[:cut], lo[:cut]))))
+                held, size = [], 0
             held.append((k[cut:], hi[cut:], lo[cut:]))
+            size += len(k) - cut
+            if size > most:
+                big = int(k[-1] >> 2)
+                for c in held:
+                    yield rows_of(c[1], c[2], None, None, c[0])
+                held, size = [], 0
         if held:
-            yield flush(held)
-        held = []
+            yield flush(*(np.concatenate(c) for c in zip(*held)))
         common.give_back()
 
-    kept = ["hi", "lo"] if wide else ["lo"]
+    def joined(rows: DataFrame, most: int) -> DataFrame:
+        rows = rows.repartition(F.shiftright("k", 2)).sortWithinPartitions("k").select("k", *(["hi", "lo"] if wide else ["lo"]))
+        return rows.mapInArrow(lambda x: compare(x, most), ", ".join(f"{c} long" for c in fields))
+
     rows = distinct.select("hi", "lo").mapInArrow(index, "k long, hi long, lo long" if wide else "k long, lo long")
-    rows = rows.repartition(F.shiftright("k", 2)).sortWithinPartitions("k").select("k", *kept)
-    return rows.mapInArrow(compare, "a_hi long, a_lo long, b_hi long, b_lo long").distinct()
+    found = stage(joined(rows, BIG), "links")
+    large = found.filter("k IS NOT NULL").select("k", F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).withColumn("key", F.shiftright("k", 2))
+    out = found.filter("k IS NULL")
+    if not large.isEmpty():
+        large = large.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+        groups = blocked(large.select("key", "n", F.struct("k", "hi", "lo").alias("member")), ["key"], "member", F.col("n"), BIG // 4)
+        again = groups.select(F.shiftleft("g", 2).bitwiseOR(F.col("node.k").bitwiseAND(F.lit(3))).alias("k"), "node.hi", "node.lo")
+        out = out.unionByName(joined(again, 1 << 62))
+    return out.drop("k").distinct()
 
 
 def group(prints: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
@@ -289,62 +320,45 @@ def sketches(docs: DataFrame, scheme: Scheme, text: str, key: str) -> DataFrame:
 
         common.drop()
         for b in batches:
-            raw, nodes, bands = [], [], []
+            raw, nodes, bands, sizes = [], [], [], []
             for t in b.column(2).to_pylist():
                 found = shingles(t, scheme)
                 x = as_set(found)
                 raw.append(print_of(found, scheme))
                 nodes.append(xxhash.xxh64_intdigest(x.tobytes()))
+                sizes.append(len(x))
                 bands.append(band_keys(x, scheme))
             raw = np.frombuffer(b"".join(raw), ">i8").reshape(b.num_rows, 2).astype(np.int64)
-            columns = [b.column(0), b.column(1), pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "hi", "lo", "set", "bands"])
+            columns = [b.column(0), b.column(1), pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "hi", "lo", "set", "bands", "n"])
         common.give_back()
 
     d = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("body"), F.col(f"`{text}`").alias("text"))
-    return d.mapInArrow(run, f"key {d.schema['key'].dataType.simpleString()}, body long, hi long, lo long, set long, bands array<long>")
+    return d.mapInArrow(run, f"key {d.schema['key'].dataType.simpleString()}, body long, hi long, lo long, set long, bands array<long>, n long")
 
 
 def verified(found: DataFrame, docs: DataFrame, scheme: Scheme, text: str, key: str) -> DataFrame:
     """Edges (a, b) of sets that share a component and have the scheme's Jaccard similarity: they join the same sets as all such pairs do."""
-    from viewtide.llm.passages import similar
-
     many = found.groupBy("component").agg(F.min("set").alias("m"), F.max("set").alias("last")).filter("m < last").select("component")
-    asked = found.join(many, "component").groupBy("set", "component").agg(F.min(F.struct("key", "body")).alias("m")).select("component", "set", F.col("m.key").alias("k"), F.col("m.body").alias("b"))
+    asked = found.join(many, "component").groupBy("set", "component").agg(F.min(F.struct("key", "body")).alias("m"), F.max("n").alias("n"))
+    asked = stage(asked.select("component", "set", F.col("m.key").alias("k"), F.col("m.body").alias("b"), "n"), "asked")
+    groups = blocked(asked.withColumn("words", F.sum("n").over(Window.partitionBy("component"))), ["component"], "set", F.col("words"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [as_set(shingles(t, scheme)).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["component", "set", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, held = None, [], []
-
-        def done():
-            pairs = similar(held, scheme.jaccard)
-            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in pairs], pa.int64()), pa.array([names[j] for _, j in pairs], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            for c, s, raw in zip(*(x.to_pylist() for x in b.columns)):
-                if c != now and names:
-                    yield done()
-                    names, held = [], []
-                now = c
-                if not names or names[-1] != s:
-                    names.append(s)
-                    held.append(np.frombuffer(raw, np.uint64))
-        if names:
-            yield done()
+            raw = [as_set(shingles(t, scheme)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("body"), F.col(f"`{text}`").alias("text"))
     # one document of each set, so that copies do not travel
-    rows = texts.join(asked, texts["key"].eqNullSafe(asked["k"]) & (texts["body"] == asked["b"])).select("component", "set", "text").mapInArrow(sets, "component long, set long, shingles binary")
-    return rows.repartition("component").sortWithinPartitions("component", "set").mapInArrow(compare, "a long, b long")
+    once = asked.groupBy("set").agg(F.first("k").alias("k"), F.first("b").alias("b"))
+    rows = texts.join(once, texts["key"].eqNullSafe(once["k"]) & (texts["body"] == once["b"])).select("set", "text").mapInArrow(sets, "node long, shingles binary")
+    return forests(groups.join(rows, "node"), scheme.jaccard)
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each component of verified links: that of the least key, and of rows with that key the one whose text's hash is least."""
-    found = stage(group(sketches(docs, scheme, text, key), scheme).select("key", "body", "set", "component"), "found")
+    found = stage(group(sketches(docs, scheme, text, key), scheme).select("key", "body", "set", "n", "component"), "found")
     labels = components(verified(found, docs, scheme, text, key), "similar").select("node", F.col("component").alias("label"))
     found = found.join(labels, found["set"] == labels["node"], "left").withColumn("component", F.coalesce("label", "set"))
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "body")).alias("m")).select("m.key", "m.body")
