@@ -335,10 +335,10 @@ def test_language_rejects_what_was_not_learned(spark):
     import random
 
     rng = random.Random(1)
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
     noise = [(10**6 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300)), None) for i in range(40)]
     kept = {r["doc_id"] for r in langid.reject(d.unionByName(spark.createDataFrame(noise, d.schema))).select("doc_id").collect()}
-    assert len([i for i in kept if i < 10**6]) == d.count() and len([i for i in kept if i >= 10**6]) <= 2
+    assert len([i for i in kept if i < 10**6]) == d.count() and len([i for i in kept if i >= 10**6]) <= 4
 
 
 def test_simhash(spark, sf_dir, docs):
