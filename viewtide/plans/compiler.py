@@ -109,7 +109,8 @@ class Compiler:
             if roots is not None:
                 base = base.join(roots, list(spec.primary_key), "left_semi")
         own = base.select(_occ(F.lit(name), spec, R.split_keys(query)).alias("occ"), F.lit(None).cast("string").alias("parent_occ"), _key(spec).alias("row_key"), _row(spec).alias("row"))
-        return [PathResult((name,), query.table, own, R.complete_order(query, spec)), *self._children(query, (name,), own, roots is not None)]
+        narrow = roots is not None or bool(query.where or query.start) or query.limit is not None
+        return [PathResult((name,), query.table, own, R.complete_order(query, spec)), *self._children(query, (name,), own, narrow)]
 
     def _children(self, query: Query, path, parent: DataFrame, narrow: bool) -> list[PathResult]:
         edges = [(x.uid, replace(x.edge, query=replace(x.edge.query, limit=R.EXISTS_ROWS))) for x in R.exists_of(query.where)]
@@ -131,7 +132,7 @@ class Compiler:
         keys = parent.select(F.col("occ").alias("parent_occ"), *(F.col(f"row.`{f}`").alias(f"__k{i}") for i, f in enumerate(edge.parent_fields)))
         child = self.filtered(query).dropna(subset=list(edge.child_fields))
         if query.limit is not None:
-            if narrow:  # only the windows of the parents at hand
+            if narrow:  # only the windows of the parents at hand are ranked
                 child = child.join(keys, _on(child, edge, swap=True), "left_semi")
             w = Window.partitionBy(*(f"`{f}`" for f in edge.child_fields)).orderBy(*P.sort_columns(R.complete_order(query, spec)))
             child = child.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= query.limit).drop("__rank")
@@ -143,7 +144,7 @@ class Compiler:
         own = flat.select(
             F.concat("parent_occ", F.lit("/"), _occ(F.lit(path[-1]), spec, split, "row.")).alias("occ"), "parent_occ", _key(spec, "row.").alias("row_key"), "row"
         )
-        return [PathResult(path, query.table, own, R.complete_order(query, spec)), *self._children(query, path, own, narrow)]
+        return [PathResult(path, query.table, own, R.complete_order(query, spec)), *self._children(query, path, own, narrow or bool(query.where) or query.limit is not None)]
 
 
 def _on(df: DataFrame, edge: Edge, swap: bool = False) -> Column:
