@@ -12,7 +12,6 @@ from functools import reduce
 from typing import Any, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from viewtide.errors import DriftError, EngineClosedError, EpochError, QueryError
 from viewtide.operators import flatten
@@ -21,14 +20,15 @@ from viewtide.plans import rewrite as R
 from viewtide.plans.ast import Builder, Query, parse_query
 from viewtide.plans.compiler import Compiler, PathResult
 from viewtide.sources.catalog import TableSpec
-from viewtide.sources.snapshot import OPS, Snapshot, change_log, to_source_changes
+from viewtide.sources.snapshot import OPS, Snapshot, to_source_changes
+from viewtide.sources.staging import stage
 
 VERSION = "0.1.0"
 
 
 @dataclass
 class AdvanceResult:
-    """Row changes of all queries; seconds spent by (table, op); the drift that stopped the batch, if any."""
+    """Row changes of all queries; for each (table, op) the number of changes and the milliseconds that classifying them (of a log: checking it) took; the drift that stopped the batch, if any."""
 
     changes: DataFrame
     timings: list[dict]
@@ -40,6 +40,8 @@ class _Registered:
     query: Query
     resolved: Query = None
     companions: list = field(default_factory=list)
+    #: The root window's keys in the current version, once they were needed.
+    windows: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -72,6 +74,8 @@ class ViewEngine:
         self.queries: dict[str, _Registered] = {}
         self.unique_keys: dict[str, tuple] = {}
         self.metrics = Metrics()
+        #: Last batch of each stream that drives the engine, by checkpoint.
+        self.streams: dict[str, dict] = {}
         self.closed = False
         self._lock = threading.RLock()
 
@@ -97,6 +101,8 @@ class ViewEngine:
             spec = self.snapshot.specs[table]
             more = spec.normalize(rows) if isinstance(rows, DataFrame) else spec.rows_to_df(self.spark, rows)
             self.snapshot = self.snapshot.with_table(spec, self.snapshot.frames[table].unionByName(more))
+            for reg in self.queries.values():
+                reg.windows.clear()
 
     # -- queries ----------------------------------------------------------------------
 
@@ -119,11 +125,11 @@ class ViewEngine:
         self.metrics.add("hydrate", (time.monotonic() - began) * 1000)
         return found
 
-    def add_queries(self, queries: dict[str, Any]) -> dict[str, list]:
-        """Registers queries in order and runs them at once; their rows by id, in order."""
+    def add_queries(self, queries: dict[str, Any]) -> dict[str, DataFrame]:
+        """Registers queries in order, runs them at once and stages their rows: frames by id, in order. No rows come to the driver."""
         frames = {k: self.add_query(k, v) for k, v in queries.items()}
         with ThreadPoolExecutor(max(1, min(8, len(frames)))) as pool:
-            return dict(zip(frames, pool.map(lambda df: df.collect(), frames.values())))
+            return dict(zip(frames, pool.map(lambda x: stage(x[1], f"rows-{x[0]}"), enumerate(frames.values()))))
 
     def add_queries_stream(self, queries: dict[str, Any], chunk_rows: int = flatten.CHUNK_ROWS) -> Iterator[flatten.Chunk]:
         """Chunks of each query's rows. A closed engine raises at the first chunk asked for."""
@@ -153,19 +159,24 @@ class ViewEngine:
             return self._sequential(changes, prune)
         began = time.monotonic()
         with self._lock:
-            logs, counts = self._logs(changes)
-            if self.check_drift:
-                try:
+            timings, before = [], self.snapshot
+            try:
+                if isinstance(changes, dict):
+                    logs = {t: stage(df.select("__seq", "__op", *before.specs[t].columns), f"log-{t}") for t, df in changes.items() if t in before.specs}
                     for table, log in logs.items():
-                        self.snapshot.check(table, log)
-                except DriftError as drift:
-                    return AdvanceResult(self._none(), [], drift)
-            after = self.snapshot.apply(logs)
-            out = self._none() if not logs else self._differences(self.snapshot, after, logs, prune)
+                        step = time.monotonic()
+                        if self.check_drift:
+                            before.check(table, log)
+                        timings.append({"table": table, "type": "batch", "changes": None, "ms": (time.monotonic() - step) * 1000})
+                    after, changed = before.apply(logs)
+                else:
+                    after, changed = before.apply_rows(self._steps(changes, timings), self.check_drift)
+            except DriftError as drift:
+                return AdvanceResult(self._none(), [], drift)
+            out = self._differences(before, after, changed, prune) if changed else self._none()
             self.snapshot = after
-        ms = (time.monotonic() - began) * 1000
-        self.metrics.add("advance", ms)
-        return AdvanceResult(out, [{"table": t, "type": op, "changes": n, "ms": ms / max(1, len(counts))} for (t, op), n in counts.items()])
+        self.metrics.add("advance", (time.monotonic() - began) * 1000)
+        return AdvanceResult(out, timings)
 
     def advance_stream(self, changes, chunk_rows: int = flatten.CHUNK_ROWS, mode: str = "net") -> Iterator[flatten.Chunk]:
         """Chunks of advance()'s changes; always one final chunk, which carries drift, if any."""
@@ -215,41 +226,42 @@ class ViewEngine:
             out += [PathResult((f"companion{i}", *p.path), p.table, p.df, p.order) for p in compiler.compile(c.query)]
         return out
 
-    def _logs(self, changes) -> tuple[dict[str, DataFrame], dict]:
-        specs = self.snapshot.specs
-        if isinstance(changes, dict):
-            logs = {t: df.select("__seq", "__op", *specs[t].columns) for t, df in changes.items() if t in specs}
-            return logs, {(t, "batch"): None for t in logs}
-        rows: dict[str, list] = {}
-        counts: dict = {}
+    def _steps(self, changes, timings: list) -> dict[str, list]:
+        """(op, row) by table; timings gets, for each table and op, the number of changes and the time that classifying them took."""
+        specs, out, spent = self.snapshot.specs, {}, {}
         for c in changes:
             if c["table"] in specs:
+                began = time.monotonic()
                 for op, row in to_source_changes(c, specs[c["table"]]):
-                    held = rows.setdefault(c["table"], [])
-                    held.append((len(held), op, row))
-                    counts[c["table"], OPS[op]] = counts.get((c["table"], OPS[op]), 0) + 1
-        return {t: change_log(self.spark, specs[t], x) for t, x in rows.items()}, counts
+                    out.setdefault(c["table"], []).append((op, row))
+                    n, ms = spent.get((c["table"], OPS[op]), (0, 0.0))
+                    spent[c["table"], OPS[op]] = n + 1, ms + (time.monotonic() - began) * 1000
+                    began = time.monotonic()
+        timings += [{"table": t, "type": op, "changes": n, "ms": ms} for (t, op), (n, ms) in spent.items()]
+        return out
 
-    def _differences(self, before: Snapshot, after: Snapshot, logs, prune: bool) -> DataFrame:
+    def _differences(self, before: Snapshot, after: Snapshot, changed: dict, prune: bool) -> DataFrame:
         old, new = self._compiler(before), self._compiler(after)
-        changed = before.changed_rows(after, logs) if prune else None
         found = []
         for query_id, reg in self.queries.items():
-            if not any(t in logs for t in R.tables_of(reg.query)):
+            if not any(t in changed for t in R.tables_of(reg.query)):
                 continue
             if reg.companions:  # the value may have changed: the views of both versions are compared whole
                 again = self._resolve(reg.query, after)
                 parts = diff_paths(self._paths(reg.resolved, reg.companions, before), self._paths(again.resolved, again.companions, after))
                 reg.resolved, reg.companions = again.resolved, again.companions
+            elif prune:
+                parts = view_delta(reg.resolved, old, new, changed, reg.windows)
             else:
-                parts = view_delta(reg.resolved, old, new, changed)
+                reg.windows.clear()
+                parts = view_delta(reg.resolved, old, new)
             found += [flatten.changes_of(p, query_id, d) for p, d in parts]
         return reduce(DataFrame.unionByName, found) if found else self._none()
 
     def _sequential(self, changes, prune: bool) -> AdvanceResult:
         if isinstance(changes, dict):
             raise QueryError("sequential mode takes a list of changes")
-        held, queries = self.snapshot, {k: _Registered(v.query, v.resolved, v.companions) for k, v in self.queries.items()}
+        held, queries = self.snapshot, {k: _Registered(v.query, v.resolved, v.companions, dict(v.windows)) for k, v in self.queries.items()}
         out, timings = [], []
         for c in changes:
             specs = self.snapshot.specs
@@ -345,7 +357,7 @@ class EngineRegistry:
         if method == "removeQuery":
             return engine.remove_query(p["queryID"])
         if method == "addQueries":
-            return {k: rows(v) for k, v in engine.add_queries({x["queryID"]: x["ast"] for x in p["queries"]}).items()}
+            return {k: rows(v.toLocalIterator()) for k, v in engine.add_queries({x["queryID"]: x["ast"] for x in p["queries"]}).items()}
         if method == "addQueriesStream":
             return [{**vars(c), "changes": rows(c.changes)} for c in engine.add_queries_stream({x["queryID"]: x["ast"] for x in p["queries"]})]
         if method == "advanceStream":
@@ -354,7 +366,3 @@ class EngineRegistry:
         if result.drift:
             raise result.drift
         return {"changes": rows(result.changes.collect()), "timings": result.timings}
-
-
-def count_by_type(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("query_id", "path", "type").agg(F.count("*").alias("n"))

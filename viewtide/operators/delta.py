@@ -11,6 +11,7 @@ from viewtide.operators.flatten import ADD, EDIT, REMOVE
 from viewtide.plans import rewrite as R
 from viewtide.plans.ast import Query
 from viewtide.plans.compiler import Compiler, PathResult
+from viewtide.sources.snapshot import Change, Keys, keys_of, local_frame
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -33,45 +34,73 @@ def diff_paths(old: list[PathResult], new: list[PathResult]) -> list[tuple[PathR
     return out
 
 
-def affected_roots(query: Query, old: Compiler, new: Compiler, changed: dict[str, DataFrame]) -> DataFrame | None:
+def affected_roots(query: Query, new: Compiler, changed: dict[str, Change]) -> DataFrame | None:
     """Primary keys of root rows whose subtree, membership or window a change can touch.
 
-    Changed rows (before and after) are walked up the correlations through both snapshots by
-    semi-joins, so that the cost follows the changes and not the tables.
+    Changed rows (before and after) are walked up the correlations by semi-joins, so that the cost follows the changes and not the tables. Changed rows
+    of a table are all taken, and a row that did not change is the same in both versions, so the later one is all that is walked through.
     """
     def reach(x: Query) -> DataFrame | None:
-        """Rows of x's table, of either snapshot, that a change at or below x can touch."""
-        found = [changed[x.table].select(*old.spec(x.table).columns)] if x.table in changed else []
-        every = None
+        """Rows of x's table, of either version, that a change at or below x can touch."""
+        columns = new.spec(x.table).columns
+        found = [changed[x.table].rows().select(*columns)] if x.table in changed else []
         for e in [c.edge for c in R.exists_of(x.where)] + list(x.related):
             below = reach(e.query)
             if below is None:
                 continue
             keys = below.select(*(F.col(f"`{f}`").alias(f"__k{i}") for i, f in enumerate(e.child_fields))).dropna().distinct()
-            if every is None:
-                every = old.frames[x.table].unionByName(new.frames[x.table])
+            every = new.frames[x.table]
             on = reduce(lambda a, b: a & b, (every[f"`{f}`"] == keys[f"__k{i}"] for i, f in enumerate(e.parent_fields)))
-            found.append(every.join(keys, on, "left_semi").select(*old.spec(x.table).columns))
+            found.append(every.join(keys, on, "left_semi").select(*columns))
         return reduce(DataFrame.unionByName, found) if found else None
 
     rows = reach(query)
-    return None if rows is None else rows.select(*old.spec(query.table).primary_key).distinct()
+    return None if rows is None else rows.select(*new.spec(query.table).primary_key).distinct()
 
 
-def view_delta(query: Query, old: Compiler, new: Compiler, changed: dict[str, DataFrame] | None = None) -> list[tuple[PathResult, DataFrame]]:
+#: Root windows of so many rows at most are fetched and remembered as keys.
+WINDOW_ROWS = 5000
+#: A batch that changes this share of a table is large: finding its roots would cost more than comparing whole views.
+WHOLE = 0.1
+
+
+def window_keys(query: Query, compiler: Compiler) -> Keys:
+    spec = compiler.spec(query.table)
+    return keys_of(spec, compiler.root_window(R.label_exists(query, compiler.passthrough_flip)), WINDOW_ROWS)
+
+
+def view_delta(query: Query, old: Compiler, new: Compiler, changed: dict[str, Change] | None = None, windows: dict | None = None) -> list[tuple[PathResult, DataFrame]]:
     """The view's difference; with changed rows at hand only affected roots are recomputed.
 
-    Under a root limit the two windows are computed whole (a top-n each), and subtrees only of
-    roots that are affected or that enter or leave the window.
+    windows: the query's remembered window, read and replaced. Under a root limit the later window is
+    computed (a top-n), and subtrees only of roots that are affected or that enter or leave it.
     """
-    if changed is None:
+    limited = query.limit is not None and query.limit <= WINDOW_ROWS
+    large = changed is not None and any(x.of and x.n >= WHOLE * x.of for t, x in changed.items() if t in R.tables_of(query))
+    if changed is None or (query.limit is not None and not limited) or (large and not limited):
         return diff_paths(old.compile(query), new.compile(query))
-    roots = affected_roots(query, old, new, changed)
+    spec = new.spec(query.table)
+    roots = None
+    if not large:
+        found = affected_roots(query, new, changed)
+        if found is None:
+            return []
+        roots = keys_of(spec, found)
+        if not limited:
+            return diff_paths(old.compile(query, roots), new.compile(query, roots))
+    windows = {} if windows is None else windows
+    a = windows.get("keys") or window_keys(query, old)
+    b = window_keys(query, new) if query.table in changed or R.exists_of(query.where) else a
+    windows["keys"] = b
+    either = set(a.listed) | set(b.listed)
     if roots is None:
+        touched = either
+    elif roots.listed is not None:
+        touched = (set(a.listed) ^ set(b.listed)) | (set(roots.listed) & either)
+    else:
+        both = local_frame(roots.frame.sparkSession, roots.schema, list(either))
+        touched = (set(a.listed) ^ set(b.listed)) | set(map(tuple, both.join(roots.frame, list(spec.primary_key), "left_semi").collect()))
+    if not touched:
         return []
-    if query.limit is not None and query.table in changed or query.limit is not None and R.exists_of(query.where):
-        key = list(old.spec(query.table).primary_key)
-        a, b = (c.root_window(R.label_exists(query, c.passthrough_flip)).select(*key) for c in (old, new))
-        moved = a.exceptAll(b).unionByName(b.exceptAll(a))
-        roots = roots.unionByName(moved).distinct()
-    return diff_paths(old.compile(query, roots), new.compile(query, roots))
+    part = lambda x: Keys(x.columns, x.schema, tuple(k for k in x.listed if k in touched))
+    return diff_paths(old.compile(query, part(a), True), new.compile(query, part(b), True))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from viewtide.functions.predicates import sort_columns
 from viewtide.plans.compiler import PathResult
+from viewtide.sources.staging import stage
 
 ADD, REMOVE, EDIT = 0, 1, 2
 CHANGE_SCHEMA = "type int, query_id string, table string, path string, occ string, row_key string, row string"
@@ -85,8 +86,12 @@ def chunks(df: DataFrame, query_id: str, size: int = CHUNK_ROWS) -> Iterator[Chu
 
 
 def chunk_numbers(df: DataFrame, order: list[str], size: int = CHUNK_ROWS) -> DataFrame:
-    """The chunk of each row of a result in the given order, without a global window: ranks come from counts of range partitions."""
+    """The chunk of each row of a result in the given order, without a global window: ranks come from counts of range partitions.
+
+    The numbered rows are staged, as both sides of the join have to see the same partitions.
+    """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id())
+    ranged = stage(ranged, "chunks")
     first = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__pos").alias("__first"))
     before = first.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     out = ranged.join(F.broadcast(before), "__part")  # one row for each partition

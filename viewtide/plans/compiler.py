@@ -89,9 +89,10 @@ class Compiler:
 
     # -- occurrences ---------------------------------------------------------------
 
-    def compile(self, query: Query, roots: DataFrame | None = None) -> list[PathResult]:
-        """All emitted positions of the query, parents first. roots limits the work to root rows with those primary keys; it changes no window of the root."""
-        return self._compile(R.label_exists(query, self.passthrough_flip), roots)
+    def compile(self, query: Query, roots=None, inside: bool = False) -> list[PathResult]:
+        """All emitted positions of the query, parents first. roots (Keys) limits the work to root rows with those primary keys; it changes no window of the root.
+        inside says that the keys are known to be in the root's result."""
+        return self._compile(R.label_exists(query, self.passthrough_flip), roots, inside)
 
     def root_window(self, query: Query) -> DataFrame:
         spec = self.spec(query.table)
@@ -100,14 +101,16 @@ class Compiler:
             df = df.orderBy(*P.sort_columns(R.complete_order(query, spec))).limit(query.limit)
         return df
 
-    def _compile(self, query: Query, roots: DataFrame | None) -> list[PathResult]:
+    def _compile(self, query: Query, roots, inside: bool) -> list[PathResult]:
         spec, name = self.spec(query.table), query.alias or query.table
-        if roots is not None and query.limit is None:
-            base = self.filtered(query, self.frames[query.table].join(roots, list(spec.primary_key), "left_semi"))
-        else:
+        if roots is None:
             base = self.root_window(query)
-            if roots is not None:
-                base = base.join(roots, list(spec.primary_key), "left_semi")
+        elif inside:
+            base = roots.restrict(self.frames[query.table])
+        elif query.limit is None:
+            base = self.filtered(query, roots.restrict(self.frames[query.table]))
+        else:
+            base = roots.restrict(self.root_window(query))
         own = base.select(_occ(F.lit(name), spec, R.split_keys(query)).alias("occ"), F.lit(None).cast("string").alias("parent_occ"), _key(spec).alias("row_key"), _row(spec).alias("row"))
         narrow = roots is not None or bool(query.where or query.start) or query.limit is not None
         return [PathResult((name,), query.table, own, R.complete_order(query, spec)), *self._children(query, (name,), own, narrow)]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,10 +143,3 @@ TEST_TABLE_KEYS = {
     "labels": ("doc_id",),
     "conversations": ("conv_id", "turn"),
 }
-
-
-def local_path(uri: str) -> Path | None:
-    """The path behind a file URI or plain path; None for other stores."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return Path(uri)
-    return Path(uri.split(":", 1)[1].replace("//", "/", 1) if not uri.startswith("file://") else uri[7:]) if uri.startswith("file:") else None
