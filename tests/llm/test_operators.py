@@ -452,6 +452,13 @@ def test_decontamination(spark, sf_dir, docs):
         assert x.items_sha256 == hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
+def test_decontamination_in_blocks(spark, sf_dir):
+    d, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    index = decontaminate.build_index(d)
+    one, many = (sorted(map(tuple, decontaminate.search(index, items, block_words=n).drop("item_ids").collect())) for n in (decontaminate.BLOCK_WORDS, 100))
+    assert one == many and len(decontaminate.blocks_of(items, "item_id", "text", block_words=100)) > 5
+
+
 def test_proximity():
     s = decontaminate.Segment(decontaminate.segment([1], [decontaminate.words("a x b c")], 10), 10)
     block = decontaminate.Phrases([(7, "a b c")], 10)
@@ -471,7 +478,7 @@ COUNTS = {"mixed": None, "passages": None, "reject": 6, "keep": 5, "clean": 6}
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 @pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
 def test_odd_rows(spark, name, rows):
-    clash = ["key", "body", "size", "mix", "hash", "rank", "langid", "n", "class"]
+    clash = ["key", "body", "size", "mix", "hash", "rank", "langid", "n", "class", "__mix", "__plan", "__body", "__rank", "fence", "set", "shard", "cell"]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in clash})
     common.ready(spark)
     n = OPERATORS[name](d).count()
@@ -485,6 +492,9 @@ def test_odd_urls(spark):
     entries = spark.createDataFrame(entries, "kind string, pattern string, category string, action string, d string").withColumn("dated", F.to_timestamp_ntz("d"))
     got = sorted((r["page_id"], r["listed"]["n_entries"], r["listed"]["blocked"]) for r in urls.filter_urls(pages, entries).collect())
     assert got == [(1, 0, False), (2, 0, False), (3, 2, True), (3, 2, True), (4, 0, False), (5, 0, False)]
+    odd = spark.createDataFrame([(1, "http://EXAMPLE.com./a", "2024-05-01"), (2, "http://[::1]:80/x", "2024-05-01"), (3, "http://b.org/p//q", "2024-05-01")], "page_id long, url string, t string").withColumn("fetched_at", F.to_timestamp_ntz("t")).withColumns({"__u": F.lit(1), "__f": F.lit(1), "__e": F.lit(1)})
+    some = spark.createDataFrame([(k, p, "x", "add", "2024-04-01") for k, p in (("host", "Example.com."), ("host", "[::1]"), ("prefix", "B.org/p/"))], "kind string, pattern string, category string, action string, d string").withColumn("dated", F.to_timestamp_ntz("d"))
+    assert [r["listed"]["blocked"] for r in urls.filter_urls(odd, some).orderBy("page_id").collect()] == [True, True, True]
     assert urls.filter_urls(pages, entries.limit(0)).filter("listed.blocked").count() == 0
     assert urls.filter_urls(pages.limit(0), entries).count() == 0
 

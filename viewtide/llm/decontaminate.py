@@ -7,12 +7,14 @@ staged table, spread over the cluster, and can be searched again for other test
 
 A test item's windows are phrases. In each segment a phrase all of whose terms occur is matched by
 intersecting the terms' position lists, each moved by the term's place in the phrase, from the rarest term on. With
-slop, a term may stand that many positions off its place (proximity matches). Test items reach
-the executors in blocks of bounded size, one after the other; segments are searched in place, without a shuffle.
+slop, a term may stand that many positions off its place (proximity matches). Test items become blocks of about BLOCK_WORDS words, files in the
+shared folder that each task reads one after the other, so that driver and workers hold one block at a time; segments are searched in place, without a shuffle.
 
 Nulls: a null text, of a document or an item, has no words; an item without words has no
 window. Items with the same id count once in a document's list. Null ids are values like any other;
-a null item id is left out of the list of ids. An empty table of items contaminates nothing.
+a null item id is left out of the list of ids. Document ids are cast to long. Repeated documents get equal rows. An empty table of items contaminates nothing, an
+empty table of documents gives no rows. A very long text is a segment of its own, and an item longer than a block a block of its own. Other columns, whatever
+their names, stay as they are (clean) or are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewtide.llm import common
-from viewtide.sources.staging import stage
+from viewtide.sources.staging import new_dir, stage
 
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
-#: Characters of test items that one block holds.
-BLOCK_CHARS = 32_000_000
+#: Words of test items in one block: some 100 bytes each while it is built, 50 when it is searched.
+BLOCK_WORDS = 200_000
 #: Bytes: A-Z in lower case; ASCII that is no letter or digit is a space. Words are then what split() finds.
 _KEEP = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -96,7 +98,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", gap: i
         del ids, texts
         common.give_back()
 
-    return stage(common.plain(docs, key, text).mapInArrow(run, INDEX), "index")
+    return stage(docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, INDEX), "index")
 
 
 class Phrases:
@@ -110,11 +112,14 @@ class Phrases:
             for s in range(max(1, len(w) - window + 1) if w else 0):
                 owners[tuple(w[s : s + window])].add(item)
         self.terms = list(vocabulary)
-        self.phrases = list(owners)
-        self.owners = [sorted(x, key=repr) for x in owners.values()]
-        width = max(map(len, self.phrases), default=0)
+        self.lengths = np.fromiter(map(len, owners), np.int32, len(owners))
+        self.owners = [tuple(sorted(x, key=repr)) for x in owners.values()]
+        width = int(self.lengths.max(initial=0))
         # shorter phrases repeat their last term, which leaves the test of presence as it is
-        self.table = np.array([p + (p[-1],) * (width - len(p)) for p in self.phrases], np.int64).reshape(len(self.phrases), width)
+        self.table = np.fromiter((t for p in owners for t in p + (p[-1],) * (width - len(p))), np.int32, len(owners) * width).reshape(len(owners), width)
+
+    def phrase(self, i: int) -> np.ndarray:
+        return self.table[i, : self.lengths[i]]
 
 
 class Segment:
@@ -136,13 +141,12 @@ class Segment:
 
     def search(self, block: Phrases, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the phrase, start positions) of each phrase that occurs."""
-        if not block.phrases:
+        if not len(block.table):
             return
         here = np.array([self.places.get(t, -1) for t in block.terms], np.int64)
         rows = here[block.table]
         for p in np.flatnonzero((rows >= 0).all(axis=1)).tolist():
-            phrase = block.phrases[p]
-            terms = here[list(phrase)]
+            terms = here[block.phrase(p)]
             sizes = self.offsets[terms + 1] - self.offsets[terms]
             order = np.argsort(sizes, kind="stable")
             at = self.list_of(terms[order[0]]) - order[0]
@@ -163,7 +167,7 @@ class Segment:
         for block in blocks:
             for p, at in self.search(block, slop):
                 np.add.at(marks, np.maximum(at, 0), 1)
-                np.add.at(marks, np.minimum(at + len(block.phrases[p]), self.size), -1)
+                np.add.at(marks, np.minimum(at + block.lengths[p], self.size), -1)
                 for d in np.unique(np.searchsorted(self.starts, at, side="right") - 1).tolist():
                     items[d].update(block.owners[p])
         hit = np.concatenate(([0], np.cumsum(np.cumsum(marks) > 0)))
@@ -171,31 +175,47 @@ class Segment:
         return [(k, int(n), int(h), items.get(i, set())) for i, (k, n, h) in enumerate(zip(self.doc_ids, self.lengths, counts))]
 
 
-def blocks_of(items: DataFrame, key: str, text: str, window: int = WINDOW, chars: int = BLOCK_CHARS) -> list:
-    """The test items as broadcast blocks of bounded size; the driver holds one at a time."""
-    sc, out, held, size = items.sparkSession.sparkContext, [], [], 0
+def blocks_of(items: DataFrame, key: str, text: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
+    """The test items as files of the shared folder, a block each."""
+    from pyarrow import fs
+
+    folder, out, held, size = new_dir(items.sparkSession, "items"), [], [], 0
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+
+    def put():
+        with store.open_output_stream(f"{base}/{len(out)}") as f:
+            f.write(pickle.dumps(Phrases(held, window), pickle.HIGHEST_PROTOCOL))
+        out.append(f"{folder}/{len(out)}")
+
     for r in common.plain(items, key, text).toLocalIterator():
         held.append((r[0], r[1]))
-        size += len(r[1] or "") + 16
-        if size >= chars:
-            out.append(sc.broadcast(Phrases(held, window)))
+        size += len(words(r[1])) + 1
+        if size >= block_words:
+            put()
             held, size = [], 0
-    return [*out, sc.broadcast(Phrases(held, window))] if held else out
+    if held:
+        put()
+    return out
 
 
-def search(index: DataFrame, items: DataFrame, item_key: str = "item_id", text: str = "text", window: int = WINDOW, gap: int = WINDOW, slop: int = 0) -> DataFrame:
+def load(path: str) -> Phrases:
+    """A block; a worker keeps the last one that it read."""
+    def read() -> Phrases:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        with store.open_input_file(base) as f:
+            return pickle.loads(f.read())  # noqa: S301 - written by blocks_of
+
+    return common.kept(("items", path), read)
+
+
+def search(index: DataFrame, items: DataFrame, item_key: str = "item_id", text: str = "text", window: int = WINDOW, gap: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, item_ids of every indexed document."""
     if window > gap:
         raise ValueError("the gap between documents must be as long as the window")
-    blocks = blocks_of(items, item_key, text, window)
-
-    def load() -> Iterator[Phrases]:
-        for b in blocks:
-            yield b.value
-            if len(blocks) > 1:
-                b._value = None  # noqa: SLF001 - one block in memory at a time
-                if hasattr(b, "_path") and "_value" in b.__dict__:
-                    del b.__dict__["_value"]
+    blocks = blocks_of(items, item_key, text, window, block_words)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("item_ids", pa.list_(pa.string()))])
 
@@ -203,7 +223,7 @@ def search(index: DataFrame, items: DataFrame, item_key: str = "item_id", text:
         for b in batches:
             for row in b.to_pylist():
                 out = []
-                for doc, n, hit, found in Segment(row, gap).report(load(), slop):
+                for doc, n, hit, found in Segment(row, gap).report(map(load, blocks), slop):
                     ids = sorted(str(x) for x in found if x is not None)
                     out.append({"doc_id": doc, "n_words": n, "n_hit": hit, "n_items": len(found), "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest(), "item_ids": ids})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)

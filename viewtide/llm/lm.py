@@ -17,7 +17,7 @@ entry for each distinct word, and pair, of a batch, so that words and pairs that
 Words are told apart by 64 bits of their hash, after a context by 48.
 
 Nulls: a null text is empty and has the end alone; a null id hashes like the empty text. Repeated rows are counted and scored each. With nothing to learn from, all words
-are unknown. An empty table gives no rows.
+are unknown. An empty table gives no rows. Ids are cast to long. A very long text is a batch of its own. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def batches(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_toke
         if ids:
             yield out(number)
 
-    d = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), held_out(key, 5, 1).alias("held"))
+    d = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), held_out(key, 5, 1).alias("held"))
     return stage(d.mapInArrow(run, BATCHES), "lm-batches", "zstd")
 
 

@@ -12,7 +12,9 @@ has thousands.
 
 Nulls: a null source is a source, last in order; a null text has no words; a null id is a
 value like any other. Repeated rows count each. An empty table gives an empty mix. Size 0: a
-source without words has target 0 and no copies.
+source without words has target 0 and no copies. Ties: documents of one size class and cell are in the order of id, size and the text's hash. A very long text is
+one document, taken whole or not. Other columns stay as they are; the result's name is lengthened where docs has it. Windows over sources hold one row for each
+source in one task.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     The struct's name is lengthened where docs has a column mix; mix_name() tells it.
     """
-    name, made = mix_name(docs), common.fresh(docs, "__mix")
+    name, made, planned = mix_name(docs), common.fresh(docs, "__mix"), common.fresh(docs, "__plan")
     idtext = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     cell = F.struct(
         F.when(F.col(f"`{source}`").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(f"`{source}`"))).alias("key"),
@@ -74,17 +76,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     w = Window.partitionBy("key").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("key").alias("k"), F.col("class").alias("c"), F.col("cell").alias("e"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
     goal = targets(sizes, weights, cap).select(F.col("key").alias("k2"), "source_size", "target", "rate")
-    plan = starts.join(goal, F.col("k") == F.col("k2")).select(F.struct("k", "c", "e", "start", "source_size", "target", "rate").alias("__plan"))
-    rank = F.row_number().over(Window.partitionBy(f"{made}.key", f"{made}.class", f"{made}.cell").orderBy(F.col(f"`{key}`"), F.col(f"{made}.size")))
+    plan = starts.join(goal, F.col("k") == F.col("k2")).select(F.struct("k", "c", "e", "start", "source_size", "target", "rate").alias(planned))
+    rank = F.row_number().over(Window.partitionBy(f"{made}.key", f"{made}.class", f"{made}.cell").orderBy(F.col(f"`{key}`"), F.col(f"{made}.size"), F.xxhash64(F.col(f"`{text}`"))))
     d = d.withColumn(made, F.struct(f"{made}.*", rank.alias("rank")))
-    on = (F.col(f"{made}.key") == F.col("__plan.k")) & (F.col(f"{made}.class") == F.col("__plan.c")) & (F.col(f"{made}.cell") == F.col("__plan.e"))
+    on = (F.col(f"{made}.key") == F.col(f"{planned}.k")) & (F.col(f"{made}.class") == F.col(f"{planned}.c")) & (F.col(f"{made}.cell") == F.col(f"{planned}.e"))
     d = d.join(plan, on)
-    place, rate = (F.col("__plan.start") + F.col(f"{made}.rank")).cast("double"), F.col("__plan.rate")
+    place, rate = (F.col(f"{planned}.start") + F.col(f"{made}.rank")).cast("double"), F.col(f"{planned}.rate")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(f"{made}.key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     # floor(x + rate) - floor(x) is at most the rate rounded up; least() keeps rounding of doubles from adding one
     copies = F.least(F.floor(rate * place + offset) - F.floor(rate * (place - 1) + offset), F.ceil(rate)).cast("long")
     size = F.col(f"{made}.size")
-    return d.withColumn(name, F.struct(size.alias("size"), "__plan.source_size", "__plan.target", copies.alias("copies"), (copies * size).alias("taken"))).drop(made, "__plan")
+    return d.withColumn(name, F.struct(size.alias("size"), f"{planned}.source_size", f"{planned}.target", copies.alias("copies"), (copies * size).alias("taken"))).drop(made, planned)
 
 
 def mix_name(docs: DataFrame) -> str:

@@ -15,7 +15,8 @@ byte-level splitter always cuts, and each distinct piece is encoded once. Texts
 meets white space around a space are encoded whole.
 
 Nulls: a null text is empty and has the end id alone; null ids come first. Rows with equal ids follow each other in
-the order of their texts' hashes; repeated rows are written each. An empty table writes no sequences.
+the order of their texts' hashes; repeated rows are written each. An empty table writes no sequences. Ids are cast to long. A very long text passes through one task as
+one row. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -256,7 +257,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key:
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # of the vocabulary's size
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    d = docs.select(F.col(f"`{key}`").alias("key"), body.alias("body"), F.xxhash64(body).alias("hash"))
+    d = docs.select(F.col(f"`{key}`").cast("long").alias("key"), body.alias("body"), F.xxhash64(body).alias("hash"))
     # the third column only spreads rows that are equal in the others
     order = [F.col("key").asc_nulls_first(), F.col("hash")]
     d = d.withColumn("spread", F.monotonically_increasing_id())
@@ -355,11 +356,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, remember: tuple[int, int] = REMEMBER) -> DataFrame:
-    """Writes the documents to a new folder of the shared one, and returns what is read back."""
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, remember: tuple[int, int] = REMEMBER, folder: str | None = None) -> DataFrame:
+    """Writes the documents to a folder, and returns what is read back. Without a folder it is a new one of the shared folder, removed when the driver's Python ends; a folder that is given stays."""
     spark = docs.sparkSession
     common.ready(spark)
-    return read_back(write(docs, tokenizer or tokenizer_path(), new_dir(spark, "tokens"), remember=remember))
+    return read_back(write(docs, tokenizer or tokenizer_path(), folder or new_dir(spark, "tokens"), remember=remember))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

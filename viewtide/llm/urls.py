@@ -11,7 +11,9 @@ Kinds: host (that host alone), domain (the host and all below it), prefix (host
 from its start (included) to its end (excluded). Of entries of one time for one pattern and category the removal comes last.
 
 Nulls: a capture without URL or time, or whose URL has no host, is not blocked; entries with a null pattern, time or
-action have no effect. Repeated captures have equal results; repeated entries count once. An empty list blocks nothing.
+action have no effect. Repeated captures have equal results; repeated entries count once. An empty list blocks nothing. Hosts are compared in lower case and without
+a last dot, ports are not compared. Of several categories the least is told. A very long URL has a key for each part of its path. Other columns stay as they are; the result's name
+is lengthened where captures has it.
 """
 
 from __future__ import annotations
@@ -21,12 +23,20 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import common
 
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@]*)"
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    """In lower case, without the dot that may end it; an IPv6 address in its brackets."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
+
+
+def pattern_of(kind: Column, pattern: Column) -> Column:
+    """A listed pattern as keys_of() makes them: its host in lower case and without a last dot, a path without slashes at its end."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(pattern, r"^(\[[^\]]*\]|[^/]*)", 1)), r"\.$", "")
+    path = F.filter(F.slice(F.split(pattern, "/"), 2, 1 << 30), lambda x: x != "")
+    return F.when(kind == "prefix", F.concat_ws("/", F.concat(F.array(host), path))).otherwise(host)
 
 
 def keys_of(url: Column) -> Column:
@@ -42,7 +52,8 @@ def keys_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """entries (kind, pattern, category, action add or remove, dated) -> kind, pattern, category, start, end: end is null where nothing follows."""
-    e = common.plain(entries, "kind", "pattern", "category", "action", "dated").dropna(subset=["kind", "pattern", "action", "dated"]).distinct()
+    e = common.plain(entries, "kind", "pattern", "category", "action", "dated").dropna(subset=["kind", "pattern", "action", "dated"])
+    e = e.withColumn("pattern", pattern_of(F.col("kind"), F.col("pattern"))).distinct()
     w = Window.partitionBy("kind", "pattern", "category").orderBy("dated", "action")
     e = e.withColumn("end", F.lead("dated").over(w)).filter("action = 'add'")
     return e.select("kind", "pattern", "category", F.col("dated").alias("start"), "end").filter("end IS NULL OR start < end")
@@ -71,11 +82,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     """captures with a struct column listed of n_entries, category and blocked; the struct's name is lengthened where captures has it."""
     name = common.fresh(captures, "listed")
     thin = captures.select(F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").alias("fetched"))
-    found = active(thin, entries).select(F.col("url").alias("__u"), F.col("fetched").alias("__f"), "n_entries", F.col("category").alias("__c"))
-    found = found.select("__u", "__f", F.struct("n_entries", F.col("__c").alias("category")).alias("__e"))
-    out = captures.join(found, (F.col(f"`{url}`") == F.col("__u")) & (F.col(f"`{fetched}`") == F.col("__f")), "left")
-    n = F.coalesce("__e.n_entries", F.lit(0).cast("long"))
-    return out.withColumn(name, F.struct(n.alias("n_entries"), F.col("__e.category").alias("category"), (n > 0).alias("blocked"))).drop("__u", "__f", "__e")
+    u, f, e = (common.fresh(captures, x) for x in ("__u", "__f", "__e"))
+    found = active(thin, entries).select(F.col("url").alias(u), F.col("fetched").alias(f), F.struct("n_entries", "category").alias(e))
+    out = captures.join(found, (F.col(f"`{url}`") == F.col(u)) & (F.col(f"`{fetched}`") == F.col(f)), "left")
+    n = F.coalesce(f"{e}.n_entries", F.lit(0).cast("long"))
+    return out.withColumn(name, F.struct(n.alias("n_entries"), F.col(f"{e}.category").alias("category"), (n > 0).alias("blocked"))).drop(u, f, e)
 
 
 # --- the query: the test tables have neither list nor times, so both are derived from the pages ---------
@@ -115,7 +126,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH c AS (SELECT page_id, url, TIMESTAMP '{FIRST}' + to_minutes((page_id * 7919 % ({DAYS} * 1440))::INTEGER) AS fetched_at,
-                  lower(regexp_extract(url, '{HOST}', 1)) AS host, list_filter(string_split(regexp_extract(url, '{PATH}', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+                  regexp_replace(lower(regexp_extract(url, '{HOST}', 1)), '\.$', '') AS host, list_filter(string_split(regexp_extract(url, '{PATH}', 1), '/'), lambda x: x <> '') AS parts FROM pages),
 hosts AS (SELECT DISTINCT host FROM c WHERE host <> ''),
 sites AS (SELECT DISTINCT host || '/' || string_split(regexp_extract(url, '{PATH}', 1), '/')[2] AS pattern FROM c WHERE len(string_split(regexp_extract(url, '{PATH}', 1), '/')) > 1),
 x AS (SELECT CASE WHEN md5(host)[4] < '8' THEN 'domain' ELSE 'host' END AS kind, CASE WHEN md5(host)[4] < '8' THEN regexp_replace(host, '^(www|m)\.', '') ELSE host END AS pattern, md5(host) AS h FROM hosts
