@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents -> token files, in five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: documents -> token files, in five stages, each written as Parquet and read again by the next.
+
+Nulls: documents without text go in the first stage; null ids, sources and labels are values like any other. Repeated rows and ties: one row of equal texts
+stays, that of the least id. Empty tables pass through all stages. Very long texts are rows like any other. Extra columns stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from viewtide.llm import common, decontaminate, langid, mix, simhash, tokens
 from viewtide.sources.staging import stage
 
+#: The session's setting that names a folder for the token files; unset, they lie in the shared folder and go when the driver's Python ends.
+OUTPUT = "spark.viewtide.output"
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, go: no language can be told. The model is learned from the documents' labels."""
+    """Documents in no learned language go: without a letter, or with a score far below that of their language's texts of their length. Learned from the documents' labels."""
     common.ready(spark)
     return langid.reject(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least id: five-word shingles, a similarity of about 0.8 or more."""
+    """One document of each group of near duplicates stays, that with the least id: five-word shingles, a similarity of 0.8 or more. Texts without words are equal."""
     return simhash.keep_one(docs, simhash.SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; an empty benchmark removes none."""
     common.ready(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -31,8 +38,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids as Arrow files; a row for each document that the files hold."""
-    return tokens.encode_documents(docs, remember=(300_000, 100_000))  # beside executors whose heap earlier stages have filled
+    """The documents' token ids as Arrow files, in the folder that OUTPUT names; a row for each document that the files hold."""
+    return tokens.encode_documents(docs, remember=(300_000, 100_000), folder=spark.conf.get(OUTPUT, None))  # beside executors whose heap earlier stages have filled
 
 
 STAGES = [
