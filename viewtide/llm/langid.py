@@ -239,7 +239,8 @@ def reject(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     seen = found.filter(~held_out(key) & (F.col(f"`{lang}`") == F.col(f"`{name}`.lang_pred"))).select(f"`{name}`.*")
     mine, fence = F.col(f"`{name}`"), fences(seen).select(F.struct("lang_pred", "size", "fence").alias(common.fresh(found, "fence")))
     f = F.col(f"`{fence.columns[0]}`")
-    out = found.join(fence, (mine["lang_pred"] == f["lang_pred"]) & (mine["size"] == f["size"]), "left")
+    # a row for each language and bit length: less than the prototypes, which the executors have as well
+    out = found.join(F.broadcast(fence), (mine["lang_pred"] == f["lang_pred"]) & (mine["size"] == f["size"]), "left")
     return out.filter((mine["lang_pred"] != UNKNOWN) & (mine["score"] >= F.coalesce(f["fence"], F.lit(0.0)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
