@@ -91,6 +91,24 @@ def test_lm_scores(spark, sf_dir, docs):
     assert h.score.sum() > h.base_score.sum()
 
 
+def test_lm_files_score_other_texts(spark, tmp_path):
+    """The files alone give the scores that the model's own corpus got; texts of unknown words fall back to the counts."""
+    folder = f"file://{tmp_path}/model"
+    d = spark.createDataFrame([(i, f"a b c w{i % 7} a B\nx{i}") for i in range(200)], "doc_id long, text string")
+    want = {r["doc_id"]: r for r in lm.score(d, folder=folder).collect()}
+    found = {r["doc_id"]: r for r in lm.score_texts(d, folder).collect()}
+    assert found == want and len(want) == 200
+    n, v = want[0]["train_tokens"], len({w for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1 for w in (f"x{i}", f"w{i % 7}")}) + 4
+    other = spark.createDataFrame([(1, "unseen"), (2, None), (3, "a b")], "doc_id long, text string")
+    p = {r["doc_id"]: r for r in lm.score_texts(other, folder).collect()}
+    assert [(p[i]["n_tokens"], p[i]["n_known"]) for i in (1, 2, 3)] == [(2, 1), (1, 1), (3, 3)]
+    q = 0.5 / (n + 0.5 * (v + 1))
+    ends = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(200))
+    first = math.log10(lm.PRIOR / (ends + lm.PRIOR) * q)  # an unknown word after the start, then the end after an unknown word
+    assert math.isclose(p[1]["score"], first + math.log10((ends + 0.5) / (n + 0.5 * (v + 1))), rel_tol=1e-9)
+    assert p[3]["score"] > p[1]["score"]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 5), (1000, 3000), (300, 300), (70000, 10**12)):
