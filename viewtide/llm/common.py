@@ -21,8 +21,14 @@ ROOT = str(Path(__file__).resolve().parents[2])
 ARROW_BYTES = 4_000_000
 
 
+#: Spark's setting by which the shuffle files of an execution go when it ends, and not when the driver's garbage collector finds them.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever the driver was started, and bounds the batches that reach them."""
+    """Lets Python workers import this package, wherever the driver was started, bounds the batches that reach them, and frees the disk of finished steps."""
+    if not spark.sparkContext.getConf().contains(SHUFFLES_GO):
+        spark.conf.set(SHUFFLES_GO, "true")
     if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
