@@ -246,3 +246,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.plain(common.read(spark, sf_dir, "documents"), "doc_id", "text")
     found = search(build_index(docs), common.read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+#: The same digest: windows of documents joined with the distinct windows of items of the same length. It holds in plain DuckDB SQL for the tables whole.
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+items AS (SELECT item_id, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+phrases AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM items)),
+places AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (SELECT DISTINCT k FROM items) WHERE len(w) >= k),
+hits AS (SELECT r, i, k, item_id FROM (SELECT r, i, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM places) JOIN phrases USING (k, phrase)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS p FROM (SELECT DISTINCT r, i, k FROM hits)) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
+"""

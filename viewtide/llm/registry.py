@@ -20,4 +20,5 @@ SQL = {
     "op1_mix_sources": mix.SQL,
     "op2_quality": quality.SQL,
     "op3_url_filter": urls.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
