@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_seen = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +31,8 @@ def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
+    if (paths := getattr(_seen, "paths", None)) is not None:
+        paths.append(path)
     return path
 
 
@@ -44,6 +50,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The folders that this thread makes meanwhile."""
+    before, _seen.paths = getattr(_seen, "paths", None), []
+    try:
+        yield _seen.paths
+    finally:
+        _seen.paths = before
+
+
+def free(spark: SparkSession, paths: list[str], df: DataFrame) -> list[str]:
+    """Removes these staged folders, but for those that df reads, which are returned."""
+    read = {part for f in df.inputFiles() for part in f.split("/")} if paths else set()
+    held = [p for p in paths if p.rsplit("/", 1)[-1] in read]
+    for p in set(paths) - set(held):
+        remove(spark, p)
+        _made[:] = [x for x in _made if x[1] != p]
+    return held
+
+
 @atexit.register
 def _remove_all() -> None:
     for spark, path in reversed(_made):
