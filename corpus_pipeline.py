@@ -6,37 +6,64 @@ stays, that of the least id. Empty tables pass through all stages. Very long tex
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from viewtide.llm import common, decontaminate, langid, mix, simhash, tokens
-from viewtide.sources.staging import stage
+from viewtide.sources.staging import free, recording, stage
 
 #: The session's setting that names a folder for the token files; unset, they lie in the shared folder and go when the driver's Python ends.
 OUTPUT = "spark.viewtide.output"
 
+#: paths: the folders that this thread's stages have staged for themselves and that no later stage needs.
+_left = threading.local()
+
+
+def frees(f: Callable) -> Callable:
+    """A stage whose docs are written: what earlier stages staged for themselves goes when it begins, unless its docs still read it. A frame that an earlier
+    stage returned is therefore to be written before the next stage begins, as run() does."""
+
+    @wraps(f)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = free(spark, getattr(_left, "paths", []), docs)
+        with recording() as made:
+            out = f(spark, docs, sf_dir)
+        _left.paths = held if f.__name__ == "token_files" else held + made  # token files are the result
+        return out
+
+    return begin
+
 
+@frees
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go: without a letter, or with a score far below that of their language's texts of their length. Learned from the documents' labels."""
     common.ready(spark)
     return langid.reject(docs)
 
 
+@frees
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the least id: five-word shingles, a similarity of 0.8 or more. Texts without words are equal."""
     return simhash.keep_one(docs, simhash.SIMILAR)
 
 
+@frees
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go; an empty benchmark removes none."""
     common.ready(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@frees
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source is sampled, or repeated up to three times, to its target weight."""
     return mix.mixed(docs)
 
 
+@frees
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids as Arrow files, in the folder that OUTPUT names; a row for each document that the files hold."""
     return tokens.encode_documents(docs, remember=(300_000, 100_000), folder=spark.conf.get(OUTPUT, None))  # beside executors whose heap earlier stages have filled
