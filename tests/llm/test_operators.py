@@ -6,6 +6,7 @@ import re
 import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import oracle
@@ -17,6 +18,7 @@ import corpus_pipeline
 from viewtide.llm import common, decontaminate, langid, lm, mix, pairs, passages, quality, registry, shard, simhash, tokens, urls
 from viewtide.llm.components import components
 from viewtide.llm.eliasfano import EliasFano
+from viewtide.sources import staging
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -523,3 +525,36 @@ def test_pipeline(spark, sf_dir, docs):
     assert 0 < len(found) and set(found.doc_id) <= set(docs)
     kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).toPandas()
     assert not kept.text.duplicated().any() and sys.getsizeof(kept)
+
+
+def test_pipeline_stages_free_disk(spark, sf_dir, tmp_path):
+    """What a stage stages for itself goes when the next begins on written rows, and stays as long as the next one's docs read it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with staging.recording() as outer:
+        first = corpus_pipeline.language_id(spark, docs, sf_dir)
+    own = list(corpus_pipeline._left.paths)
+    assert own and not outer
+    n = first.count()
+    lazy = corpus_pipeline.near_duplicates(spark, first, sf_dir)
+    assert set(own) <= set(corpus_pipeline._left.paths) and 0 < lazy.count() <= n
+    first.write.parquet(str(tmp_path / "first"))
+    corpus_pipeline.source_mix(spark, spark.read.parquet(str(tmp_path / "first")), sf_dir)
+    assert not any(Path(p.removeprefix("file://")).exists() for p in own)
+
+
+def test_band_keys_of_stretches():
+    """The same keys as by one function after the other."""
+    rng = np.random.default_rng(1)
+    n, rows = simhash.SIMILAR.bands
+    odd = np.random.default_rng(42).integers(0, 1 << 63, (n * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for size in (0, 1, simhash.STRETCH - 1, simhash.STRETCH, 3 * simhash.STRETCH + 1):
+        x = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        found = simhash.band_keys(x, simhash.SIMILAR)
+        expect = []
+        for i in range(n if size else 0):
+            k = i
+            for a, b in odd[i * rows : (i + 1) * rows]:
+                k = (k ^ int(((x ^ a) * b).min())) * 0x9E3779B97F4A7C15 % 2**64
+                k ^= k >> 29
+            expect.append(k)
+        assert found.view(np.uint64).tolist() == expect

@@ -24,6 +24,7 @@ table gives no rows. A very long text passes as one row through one task, which
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 from typing import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ from viewtide.llm.pairs import blocked, forests
 from viewtide.sources.staging import stage
 
 BLOCK = 2048
+#: Shingles that all MinHash functions are applied to at once.
+STRETCH = 512
 #: Buckets of so many members at most are compared by shifts of the sorted array, larger ones by blocks.
 SMALL = 32
 #: Members of a bucket that one task compares.
@@ -94,13 +97,24 @@ def as_set(hashes: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)[:, 1])
 
 
+@cache
+def _odd(n: int) -> np.ndarray:
+    """Two odd numbers for each of n hash functions."""
+    return np.random.default_rng(42).integers(0, 1 << 63, (n, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def band_keys(x: np.ndarray, scheme: Scheme) -> np.ndarray:
     """One key for each band: its number and least values; texts without words have none."""
     n, rows = scheme.bands
     if not len(x):
         return np.zeros(0, np.int64)
-    odd = np.random.default_rng(42).integers(0, 1 << 63, (n * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.array([((x ^ a) * b).min() for a, b in odd], np.uint64).reshape(n, rows)
+    a, b = _odd(n * rows).T[:, :, None]
+    least = np.full(n * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(x), STRETCH):  # all functions at once, over stretches that a cache holds
+        part = x[at : at + STRETCH] ^ a
+        part *= b
+        np.minimum(least, part.min(axis=1), out=least)
+    least = least.reshape(n, rows)
     k = np.arange(n, dtype=np.uint64)
     for j in range(rows):
         k = (k ^ least[:, j]) * np.uint64(0x9E3779B97F4A7C15)
