@@ -66,7 +66,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @frees
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids as Arrow files, in the folder that OUTPUT names; a row for each document that the files hold."""
-    return tokens.encode_documents(docs, remember=(300_000, 100_000), folder=spark.conf.get(OUTPUT, None))  # beside executors whose heap earlier stages have filled
+    return tokens.encode_documents(docs, remember=100_000, folder=spark.conf.get(OUTPUT, None))  # beside executors whose heap earlier stages have filled
 
 
 STAGES = [

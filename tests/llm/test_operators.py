@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import sys
 import zlib
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -269,6 +271,57 @@ def test_encoder_on_odd_texts():
     assert all(e.ids == g.tolist() for e, g in zip(want, tokens.Encoder(spec).encode(texts)))
 
 
+def syllable_texts(seed, n, words):
+    """Texts of random glued syllables: most words are new ones."""
+    import random
+
+    rng, parts = random.Random(seed), ["the", "er", "in", "tion", "ou", "é", "nd", "st", "a", "che", "ly", "qu", "ing", "Th"]
+    return ["".join(rng.choice(["", " ", " ", ". ", ",\n"]) + "".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(words)) for _ in range(n)]
+
+
+def test_encoder_cuts_long_texts_and_forgets(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    with open(tokens.tokenizer_path(), encoding="utf-8") as f:
+        spec = f.read()
+    rng, parts = random.Random(2), ["a", "Bé", " ", "  ", "\n", "\t", ".", "'s", "23", "<|endoftext|>", "<|", "×", "ɐ", "中文", "\u00a0", "\u2003", "\u3000", "\x1c", "\r", "é", "²", "word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    want = [e.ids for e in Tokenizer.from_str(spec).encode_batch(texts, add_special_tokens=False)]
+    encoder, got = tokens.Encoder(spec, 100), []
+    for at in range(0, 1000, 50):
+        got += encoder.encode(texts[at : at + 50])
+    monkeypatch.setattr(tokens, "CHUNK", 10)
+    for t in texts[1000:]:
+        got += encoder.encode([t])
+    assert want == [x.tolist() for x in got]
+
+
+def test_encoder_memory():
+    """pipeline's token output: what a worker needs beside the texts, as many distinct words as they may hold."""
+    import multiprocessing
+
+    with multiprocessing.get_context("spawn").Pool(1) as pool:
+        assert pool.apply(encoder_growth) < 150
+
+
+def encoder_growth():
+    """MB by which encoding 16 MB makes a fresh process grow, with the bounds of the pipeline's stage where they can be given."""
+    import gc
+    import resource
+
+    batches = [pa.record_batch([pa.array(range(400)), pa.array(syllable_texts(seed, 400, 900))], names=["a", "b"]) for seed in range(4)]
+    gc.collect()
+    with open(tokens.tokenizer_path(), encoding="utf-8") as f:
+        encoder = tokens.Encoder(f.read())
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for b in batches:
+        for some in tokens.slices(b):
+            encoder.encode(some.column(1).to_pylist())
+    return (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1000
+
+
 def shard_laws(p, texts):
     """One row a document, sizes and checksums, gapless slots, whole groups; returns the shards' sums."""
     assert len(p) == len(texts) and set(p.shard) <= set(range(24))
