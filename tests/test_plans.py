@@ -8,6 +8,7 @@ from viewtide import q
 from viewtide.plans.ast import cmp
 from viewtide.plans.compiler import Compiler
 from viewtide.queries import QUERIES, tables
+from viewtide.sources.snapshot import Snapshot
 
 
 def text_of(df):
@@ -42,3 +43,11 @@ def test_child_windows_are_narrowed(spark, sf_dir):
     filtered = Compiler(frames, specs).compile(q("customer").where(cmp("c_mktsegment", "=", "BUILDING")).related(child, on).query)[1].df
     whole = Compiler(frames, specs).compile(q("customer").related(child, on).query)[1].df
     assert "LeftSemi" in text_of(limited) and "LeftSemi" in text_of(filtered) and "LeftSemi" not in text_of(whole)
+
+
+def test_a_log_is_sorted_by_key_only(spark, sf_dir):
+    """The tasks that scan a log, one of which may have all of it, sort nothing."""
+    frames, specs = tables(spark, sf_dir, ["orders"])
+    log = frames["orders"].selectExpr("o_orderkey AS __seq", "0 AS __op", "*")
+    above, below = text_of(Snapshot(specs, {}).net("orders", log)).rsplit("Exchange", 1)
+    assert "Sort" in above and "Sort" not in below and "WindowGroupLimit" not in below

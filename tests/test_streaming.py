@@ -6,10 +6,13 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_engine import BASE, CHANNELS, MEMBERS, TALKS, add, edit, engine, flat, gone
 
 from viewtide import TableSpec, ViewEngine, q
 from viewtide.plans.ast import cmp, exists, not_exists, or_
+from viewtide.queries import QUERIES
+from viewtide.sources.staging import recording
 from viewtide.streaming.changelog import State, append_sink, drive, read_log
 
 
@@ -49,6 +52,21 @@ def test_failing_sink_and_restart(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_event_log_keeps_its_files(spark, sf_dir, tmp_path):
+    """The log of events is written by as many tasks as read them, and still is two batches: all added, then a quarter removed."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(6).collect()
+    for i in range(6):
+        spark.createDataFrame(rows[i::6], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    with recording() as made:
+        got = QUERIES["stream_foreach_batch_final_state"](spark, str(tmp_path)).collect()
+    want = sorted((r["event_id"], r["event_type"]) for r in rows if r["event_id"] % 4 != 3 and r["event_type"] in ("purchase", "signup"))[:200]
+    assert sorted(map(tuple, got)) == want
+    log, stream = (next(p for p in made if f"/{kind}-" in p) for kind in ("log", "stream"))
+    files = spark.read.parquet(log).groupBy("__op", F.input_file_name()).count().collect()
+    assert Counter(r["__op"] for r in files) == {0: 6, 1: 6} and max(r["count"] for r in files) < len(rows) / 5
+    assert sorted(p for p in os.listdir(f"{stream.removeprefix('file://')}/commits") if p.isdigit()) == ["0", "1"]
+
+
 def test_add_queries_and_sequential(spark):
     e = engine(spark, **BASE)
     found = e.add_queries({"a": q("channels"), "b": q("talks").order("-at").limit(1)})

@@ -323,12 +323,12 @@ def stream_foreach_batch_final_state(spark: SparkSession, sf_dir: str) -> DataFr
     engine = ViewEngine(spark)
     engine.register_table(spec, events.limit(0))
     engine.add_query("x", q("events").where(cmp("event_type", "IN", ["purchase", "signup"])).order("event_id").limit(200))
-    path = new_dir(spark, "log")
+    path, checkpoint = new_dir(spark, "log"), new_dir(spark, "stream")
     adds = events.withColumn("__seq", F.col("event_id")).withColumn("__op", F.lit(0))
     gone = events.filter("event_id % 4 = 3").withColumn("__seq", F.col("event_id")).withColumn("__op", F.lit(1))
-    for part in (adds, gone):
-        part.select("__seq", "__op", *events.columns).coalesce(1).write.mode("append").parquet(path)
-    drive(engine, "events", read_log(spark, path, spec, files_per_batch=1), lambda result, batch: result.changes.count(), new_dir(spark, "stream")).awaitTermination()
+    for part in (adds, gone):  # the stream goes on from its checkpoint: each part is one batch, however many files it has
+        part.select("__seq", "__op", *events.columns).write.mode("append").parquet(path)
+        drive(engine, "events", read_log(spark, path, spec), lambda result, batch: result.changes.count(), checkpoint).awaitTermination()
     return engine.paths("x")[0].rows().select("event_id", "event_type")
 
 
